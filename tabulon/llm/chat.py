@@ -61,10 +61,10 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     leaves = now.join(parents, same("conv_id", "c2") & (F.col("id") == F.col("p2")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv_id", "top").orderBy(F.desc("total"), "id"))
     best = leaves.withColumn("branch", rank).where(F.col("branch") <= branches)
-    marked = best.select("conv_id", F.col("top").alias("root"), "branch", "id")
+    marked = staged(best.select("conv_id", F.col("top").alias("root"), "branch", "id"), "marked")
     for level in reversed(levels[:-1]):  # each message of a path is reached by one sum of powers of two
         up = level.where(F.col("up").isNotNull()).select(F.col("conv_id").alias("c2"), F.col("id").alias("i2"), "up")
-        marked = marked.unionByName(marked.join(up, same("conv_id", "c2") & (F.col("id") == F.col("i2"))).select("conv_id", "root", "branch", F.col("up").alias("id")))
+        marked = staged(marked.unionByName(marked.join(up, same("conv_id", "c2") & (F.col("id") == F.col("i2"))).select("conv_id", "root", "branch", F.col("up").alias("id"))), "marked")
     depth = now.select(F.col("conv_id").alias("c2"), F.col("id").alias("i2"), (F.col("span") - 1).alias("depth"))
     return marked.join(depth, same("conv_id", "c2") & (F.col("id") == F.col("i2"))).select("conv_id", "root", "branch", "depth", "id")
 
@@ -111,7 +111,7 @@ def masked(text: Column, loss: Column) -> Column:
 
 def digests(conversations: DataFrame) -> DataFrame:
     """What each formatted conversation says when it is read back."""
-    done = formatted(conversations)
-    turns = F.array_join(F.transform(parsed(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    under = masked(F.col("formatted"), F.col("loss"))
-    return done.select("conv_id", F.size(parsed(F.col("formatted"))).cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length(under).cast("long").alias("loss_chars"), F.sha2(under, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    done = staged(formatted(conversations), "formatted")
+    read = done.select("conv_id", parsed(F.col("formatted")).alias("turns"), masked(F.col("formatted"), F.col("loss")).alias("under"), F.length("formatted").alias("size"))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("under").cast("long").alias("loss_chars"), F.sha2("under", 256).alias("loss_sha256"), F.col("size").cast("long").alias("formatted_chars"))
