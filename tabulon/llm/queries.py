@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, audio, chat, line_dedup, packing, tokens, toxicity, url_filter
+from . import ann, audio, chat, jaccard, line_dedup, packing, tokens, toxicity, url_filter
 from .common import table
 
 #: The rules of the URL filter.
@@ -40,6 +40,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_digests(table(spark, sf_dir, "documents"))
 
@@ -57,11 +61,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_bpe_codec, op3_line_dedup, op4_toxicity, op7_media_columns, op8_url_filter, op9_nearest, op10_packing)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_bpe_codec, op3_line_dedup, op4_toxicity, op6_jaccard_join, op7_media_columns, op8_url_filter, op9_nearest, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1, "op3_line_dedup": OP3}
+    return {"op1_chat_formatting": OP1, "op3_line_dedup": OP3, "op6_jaccard_join": OP6}
 
 
 OP1 = r"""
@@ -90,3 +94,17 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (droppe
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
+
+OP6 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles FROM w),
+e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * common >= 75 * (na + nb - common)),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id FROM s JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) USING (doc_id)
+"""
