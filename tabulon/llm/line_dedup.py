@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import id_back, staged, with_ids
 
@@ -198,7 +199,15 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) ->
 
 def without_dropped(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) -> DataFrame:
     """The documents with the lines that stay; their other columns as they are."""
-    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = _with_drops(docs, least_chars, least_docs, *extra)
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("drops", i)), "\n")
-    return rows.withColumn("text", F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept)).withColumn("doc_id", id_back()).select(*docs.columns)
+    columns = docs.columns
+    inner = docs.select([F.col(c).alias(c if c in ("doc_id", "text") else f"other_{i}") for i, c in enumerate(columns)])
+    names = inner.columns
+    rows = _with_drops(inner, least_chars, least_docs, *(c for c in names if c.startswith("other_")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [apply_bitmap(t, bitmap(t.count("\n") + 1, d)) if d else t for t, d in zip(batch.column("text").to_pylist(), batch.column("drops").to_pylist())]
+            yield batch.select(names).set_column(names.index("text"), "text", pa.array(texts, pa.string()))
+
+    kept = rows.withColumn("doc_id", id_back()).select(*names, "drops").mapInArrow(run, StructType([inner.schema[c] if c not in ("doc_id", "text") else StructField(c, LongType() if c == "doc_id" else StringType()) for c in names]))
+    return kept.toDF(*columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, audio, chat, jaccard, line_dedup, packing, tokens, toxicity, url_filter
+from . import ann, audio, chat, jaccard, line_dedup, packing, suffix_dedup, tokens, toxicity, url_filter
 from .common import table
 
 #: The rules of the URL filter.
@@ -40,6 +40,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_bpe_codec, op3_line_dedup, op4_toxicity, op6_jaccard_join, op7_media_columns, op8_url_filter, op9_nearest, op10_packing)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_bpe_codec, op3_line_dedup, op4_toxicity, op5_suffix_dedup, op6_jaccard_join, op7_media_columns, op8_url_filter, op9_nearest, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
