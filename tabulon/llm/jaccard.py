@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,11 +162,11 @@ def _emit(sketch, buckets: int):
                 for doc, x in zip(ids[at : at + 128], shingle_sets(batch.column(1).slice(at, 128).to_pylist())):
                     if not len(x) or doc == NO_ID:
                         continue
-                    key = hash(x.tobytes())
-                    if (doc, key) in seen:
+                    key = xxhash.xxh3_128_digest(x.tobytes())
+                    if key in seen:  # one of equal sets is enough, whichever
                         continue
-                    if len(seen) < 100_000:
-                        seen.add((doc, key))
+                    if len(seen) < 200_000:
+                        seen.add(key)
                     for s, keep in signatures(x):
                         if len(s) > keep:
                             s = s[np.lexsort((s, counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:keep]]
@@ -226,22 +227,34 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), x[i])), pa.array(other)], names=["a", "b"])
 
 
+def _narrow(shingles: np.ndarray) -> bytes:
+    """The upper 40 bits of each hash: enough to tell apart the shingles of two documents."""
+    return np.ascontiguousarray((shingles >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _widened(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            keep, last, s = [], None, np.zeros(0, np.uint64)
             for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
+                if (raw := x.as_buffer().to_pybytes()) != last:
+                    last, s = raw, _widened(raw)
+                t = _widened(y.as_buffer().to_pybytes())
+                both = len(np.intersect1d(s, t))
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            out = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-            yield out
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. The sets of hot ids are split by adaptive joins."""
+    """The pairs (a, b) whose sets are similar enough. Few pairs are broadcast by their size; sets of hot ids are split by adaptive joins."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long").distinct()
@@ -250,8 +263,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
-            sets = shingle_sets(batch.column(1).slice(at, 128).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 128), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "s"])
+            part = batch.slice(at, 128)
+            sets = shingle_sets(part.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_narrow(x) for x in sets], pa.binary())], names=["doc_id", "center", "s"])
+
+
+def _merged(pairs: DataFrame, copies: DataFrame) -> DataFrame:
+    """Pairs of classes instead of documents."""
+    at = lambda c: copies.select(F.col("doc_id").alias(c), F.col("least").alias("l" + c))
+    named = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    return named.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -273,37 +294,39 @@ def linked(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     total = sizes.agg(F.sum("n")).head()[0] or 0
     buckets = max(8, -(-total * 2 // (5 * BUCKET)))
     # equal sets: one class, whose least id stands for it
-    whole = sizes.where((F.col("n") > 0) & (F.col("doc_id") != NO_ID))
-    classes = staged(whole.groupBy("a", "b", "n").agg(F.min("doc_id").alias("least")).select("a", "b", "n", "least"), "classes")
-    of = whole.select("doc_id", "a", "b", "n").distinct().join(classes, ["a", "b", "n"]).select("doc_id", "least").where(F.col("doc_id") != F.col("least"))
-    copies = staged(of, "copies")
-    heads = whole.groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "mark")).alias("x")).select("x.doc_id", "x.mark")
-    chosen = rows.join(heads, ["doc_id", "mark"], "left_semi").select("doc_id", "text")
-    packed = chosen.mapInArrow(_emit(held, buckets), "bucket int, least long, wide boolean, sigs binary, docs binary")
+    whole = sizes.where((F.col("n") > 0) & (F.col("doc_id") != NO_ID)).select("doc_id", F.struct("a", "b", "n").alias("set")).distinct()
+    classes = whole.groupBy("set").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1")
+    copies = staged(whole.join(classes, "set").where("doc_id <> least").select("doc_id", "least"), "copies")
+    # an id with several sets can't be replaced
+    plain = staged(copies.join(whole.groupBy("doc_id").count().where("count > 1"), "doc_id", "left_anti"), "plain-copies")
+    packed = rows.select("doc_id", "text").mapInArrow(_emit(held, buckets), "bucket int, least long, wide boolean, sigs binary, docs binary")
     groups = staged(packed.groupBy("bucket").applyInArrow(_groups, "least long, members binary"), "groups")
-    stars = staged(groups.mapInArrow(_stars, "a long, b long").distinct(), "stars")
-    involved = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
-    needed = rows.join(involved, "doc_id", "left_semi").join(heads, ["doc_id", "mark"], "left_semi").select("doc_id", "text")
-    sets = staged(needed.mapInArrow(_set_rows, "doc_id long, s binary"), "shingles")
-    same = copies.select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    # each document first with the least of its partners
-    nearest = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = staged(_verified(nearest, sets, percent), "links")
+    stars = staged(_merged(groups.mapInArrow(_stars, "a long, b long").distinct(), plain), "stars")
+    # each document is compared with the least of its partners first, so its set travels beside that one's id
+    ends = stars.select(F.col("b").alias("doc_id"), F.col("a").alias("center")).unionByName(stars.select(F.col("a").alias("doc_id"), F.lit(None).cast("long").alias("center")))
+    needed = staged(ends.groupBy("doc_id").agg(F.min("center").alias("center")), "needed")
+    sets = staged(rows.join(needed, "doc_id").select("doc_id", "center", "text").mapInArrow(_set_rows, "doc_id long, center long, s binary"), "shingles")
+    centers = sets.select(F.col("doc_id").alias("center"), F.col("s").alias("sa"))
+    near = sets.where(F.col("center").isNotNull()).join(centers, "center").select("center", "doc_id", "sa", F.col("s").alias("sb"))
+    links = staged(near.mapInArrow(_verify(percent), "center long, doc_id long").toDF("a", "b").distinct(), "links")
     for step in ("stars", "rest"):
         labels = components(links)
         at = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias("c" + c))
         apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
         open_ = stars.join(at("a"), "a", "left").join(at("b"), "b", "left").where(apart).select("a", "b")
-        if step == "rest":
-            open_ = _others(groups, open_.select(F.col("a").alias("least")).distinct(), labels)
-        more = staged(_verified(open_, sets, percent), "links")
-        if not more.isEmpty():
-            links = staged(links.unionByName(more), "links")
-    return sizes.select("doc_id", "mark", "n"), components(links.unionByName(same))
+        if step == "stars":  # those that were compared already
+            open_ = open_.join(needed.select(F.col("doc_id").alias("b"), F.col("center").alias("a")), ["a", "b"], "left_anti")
+        else:
+            open_ = _others(groups, open_, labels, plain)
+        open_ = staged(open_, "pairs")
+        if not open_.isEmpty():
+            links = staged(links.unionByName(_verified(open_, sets, percent)).distinct(), "links")
+    return sizes.select("doc_id", "mark", "n"), components(links.unionByName(copies.select(F.col("least").alias("a"), F.col("doc_id").alias("b"))))
 
 
-def _others(groups: DataFrame, open_: DataFrame, labels: DataFrame) -> DataFrame:
+def _others(groups: DataFrame, open_: DataFrame, labels: DataFrame, copies: DataFrame) -> DataFrame:
     """Pairs across components, for groups that the comparisons with their least member left in several."""
+
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0).to_pylist():
@@ -311,7 +334,11 @@ def _others(groups: DataFrame, open_: DataFrame, labels: DataFrame) -> DataFrame
                 key = int(mix(np.array([np.add.reduce(mix(x.view(np.uint64)))]))[0] >> np.uint64(1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), key, np.int64)), pa.array(x)], names=["g", "id"])
 
-    members = groups.join(open_, "least", "left_semi").select("members").distinct().mapInArrow(exploded, "g long, id long")
+    # a group's least member may stand for another one of its class
+    ids = open_.select(F.col("a").alias("least")).distinct()
+    ids = ids.unionByName(copies.join(ids, "least", "left_semi").select(F.col("doc_id").alias("least")))
+    members = groups.join(ids, "least", "left_semi").select("members").distinct().mapInArrow(exploded, "g long, id long")
+    members = members.join(copies.select(F.col("doc_id").alias("id"), "least"), "id", "left").select("g", F.coalesce("least", "id").alias("id")).distinct()
     known = members.join(labels, "id", "left").select("g", "id", F.coalesce("component", "id").alias("component"))
     several = known.groupBy("g").agg(F.collect_list("id").alias("ids"), F.collect_list("component").alias("parts"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     return several.select("ids", "parts").mapInArrow(_rest, "a long, b long").distinct()
