@@ -53,9 +53,10 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     start = nodes.join(known, same("conv_id", "c2") & (F.col("parent") == F.col("p2")), "left").select("conv_id", "id", F.col("p2").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("span"), F.col("id").alias("top"))
     now = staged(start, "pointers")
     levels = [now]
-    while not now.where(F.col("up").isNotNull()).isEmpty():
+    while not (active := now.where(F.col("up").isNotNull())).isEmpty():
         above = now.select(F.col("conv_id").alias("c2"), F.col("id").alias("i2"), F.col("up").alias("u2"), F.col("total").alias("t2"), F.col("span").alias("s2"), F.col("top").alias("top2"))
-        now = staged(now.join(above, same("conv_id", "c2") & (F.col("up") == F.col("i2")), "left").select("conv_id", "id", F.col("u2").alias("up"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"), (F.col("span") + F.coalesce("s2", F.lit(0))).alias("span"), F.coalesce("top2", "top").alias("top")), "pointers")
+        further = active.join(above, same("conv_id", "c2") & (F.col("up") == F.col("i2"))).select("conv_id", "id", F.col("u2").alias("up"), (F.col("total") + F.col("t2")).alias("total"), (F.col("span") + F.col("s2")).alias("span"), F.col("top2").alias("top"))
+        now = staged(further.unionByName(now.where(F.col("up").isNull())), "pointers")
         levels.append(now)
     parents = levels[0].where(F.col("up").isNotNull()).select(F.col("conv_id").alias("c2"), F.col("up").alias("p2")).distinct()
     leaves = now.join(parents, same("conv_id", "c2") & (F.col("id") == F.col("p2")), "left_anti")
