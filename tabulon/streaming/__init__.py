@@ -1,0 +1 @@
+"""Nothing here yet: none of the operators reads a stream. Export writes in bounded memory, see operators/export.py."""
