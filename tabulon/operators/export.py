@@ -43,7 +43,7 @@ def json_line(fields: Column, names: tuple[str, ...]) -> Column:
     quoted = F.transform(fields, _json_text)
     labels = F.array(*(F.lit(json.dumps(n, ensure_ascii=False) + ":") for n in names))
     n = F.least(F.size(fields), F.lit(len(names)))
-    pairs = F.zip_with(F.slice(labels, 1, n), F.slice(quoted, 1, n), F.concat)
+    pairs = F.zip_with(F.slice(labels, 1, n), F.slice(quoted, 1, n), lambda a, b: F.concat(a, b))
     return F.concat(F.lit("{"), F.concat_ws(",", pairs), F.lit("}"))
 
 
