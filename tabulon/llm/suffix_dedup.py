@@ -380,8 +380,11 @@ def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         shift = 8
         number = F.row_number().over(Window.partitionBy("id").orderBy("mark")) - 1
         told = marks.join(twice.select("id"), "id", "left_semi").withColumn("number", number)
-        key = F.shiftleft(F.col("id"), shift) + F.least(F.coalesce("number", F.lit(0)), F.lit(255))
-        rows = rows.withColumn("mark", F.xxhash64("text")).join(told, ["id", "mark"], "left").withColumn("id", key).drop("mark", "number")
+        # ids of any size become small numbers in the same order, with room for the texts of one id
+        every = marks.select("id").distinct().repartitionByRange("id").sortWithinPartitions("id")
+        small = staged(every.select("id", F.monotonically_increasing_id().alias("small")), "ids")
+        key = F.shiftleft(F.col("small"), shift) + F.least(F.coalesce("number", F.lit(0)), F.lit(255))
+        rows = rows.withColumn("mark", F.xxhash64("text")).join(told, ["id", "mark"], "left").join(small, "id").withColumn("id", key).drop("mark", "number", "small")
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets, text_buckets = max(8, -(-total * 6 // (100 * ENTRIES))), max(8, -(-total // TEXT_BUCKET))
 
