@@ -27,7 +27,9 @@ WINDOW, STRIDE = 48, 24
 GRAMS = (4, 5)
 HIDDEN, ATTENTION, INPUTS = 6, 6, 5
 SAMPLE, OTHERS, SAMPLE_BYTES = 1200, 2400, 1 << 16
-EPOCHS, BATCH, RATE = 14, 128, 0.02
+EPOCHS, LEAST_STEPS, BATCH, RATE = 14, 250, 128, 0.02
+#: Windows of words without signs that training adds.
+UNSIGNED = 60
 #: Features with a smaller deviation than this say nothing.
 LEAST = 2.5
 SLOT_BITS = 18
@@ -239,7 +241,8 @@ class Network:
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         step = 0
         clean = np.flatnonzero(labels[of] == 0)
-        for epoch in range(EPOCHS):
+        epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // (4 * int(labels.sum()))))
+        for epoch in range(epochs):
             top = np.array([b + int(np.argmax(level[b : b + c])) for b, c, y in zip(begin.tolist(), count.tolist(), labels.tolist()) if y])
             hard = clean[np.argsort(-level[clean], kind="stable")[: len(top)]]
             chosen = np.concatenate([top, hard, r.choice(clean, min(len(clean), 2 * len(top)), replace=False)])
@@ -253,7 +256,7 @@ class Network:
                     a += 0.1 * (v - a)
                     b += 0.01 * (v * v - b)
                     self.p[k] = (self.p[k] - RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-            if epoch % 3 == 2 or epoch == EPOCHS - 1:
+            if epoch % 3 == 2 or epoch == epochs - 1:
                 level = self.scores(x, first, size)
         best = np.maximum.reduceat(level, begin)
         self.shift = -_between(best, labels)
@@ -305,9 +308,12 @@ def fitted(texts: list[str], labels: np.ndarray) -> Model | None:
         signs = _learned_signs([docs[i] for i in rest], labels[rest])
         for i in np.flatnonzero(half == side):
             x[i] = inputs(docs[i], signs)
-    ends = np.cumsum([len(w.hashes) for w in docs])
+    # texts that say nothing: words without a sign, and no words at all, are clean
+    blank = np.concatenate(x)[: UNSIGNED * WINDOW].copy()
+    blank[:, :-1] = 0
+    parts = [*x, *np.array_split(blank, UNSIGNED), *([blank[:0]] * 4)]
     network = Network()
-    network.train(np.concatenate(x), *windows(ends), labels)
+    network.train(np.concatenate(parts), *windows(np.cumsum([len(p) for p in parts])), np.concatenate([labels, np.zeros(UNSIGNED + 4)]))
     return Model(_learned_signs(docs, labels), network)
 
 
