@@ -6,6 +6,7 @@
    anchor and the nearer half of one side with others, but not all, are left open.
 3. Open contexts are fetched from the texts and gathered by anchor and half side. A suffix array of each gathering, made
    by linear grouping (suffix.py), sets equal windows side by side; the smallest document of each run covers the others.
+   Before, what a context shares with no other of its gathering is cut off its ends; too short a rest has no such window.
 4. The covered spans of a document are joined and cut out.
 
 Entries travel as packed arrays. What one task has several times it sends once (the smallest document); the rest is
@@ -290,6 +291,33 @@ def _runs(strings: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return of, sa - (ends[of] - sizes[of]), smallest
 
 
+def _common(symbols: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """How many symbols each row begins with in common with any other of its group; rows have sizes symbols, then zeros."""
+    n, width = symbols.shape
+    words = np.zeros((n, -(-width // 4) * 4), ">u2")
+    words[:, :width] = symbols
+    order = np.lexsort((*words.view(">u8").T[::-1], group))
+    x, size, g = symbols[order], sizes[order], group[order]
+    shared = np.minimum(np.cumprod(x[1:] == x[:-1], axis=1).sum(1), np.minimum(size[1:], size[:-1]))
+    shared = np.where(g[1:] == g[:-1], shared, 0)
+    out = np.zeros(n, np.int64)
+    out[order] = np.maximum(np.append(shared, 0), np.append(0, shared))
+    return out
+
+
+def _trimmed(strings: np.ndarray, before: np.ndarray, sizes: np.ndarray, group: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each string's part begins and ends that it can share: with others of its group, which agree on the anchor.
+
+    What is before the part, or after, no other has there; strings of several documents stay whole."""
+    data = np.ascontiguousarray(strings).view(np.uint8).reshape(len(strings), -1).astype(np.uint16) + 1
+    k = np.arange(SIDE)
+    left = np.where(k < before[:, None], np.take_along_axis(data, np.clip(before[:, None] - 1 - k, 0, CUT - 1), 1), 0)
+    after = sizes - before - GRAM
+    right = np.where(k < after[:, None], np.take_along_axis(data, np.clip(before[:, None] + GRAM + k, 0, CUT - 1), 1), 0)
+    a, b = (np.where(several, n, _common(x.astype(np.uint16), n, group)) for x, n in ((left, before), (right, after)))
+    return before - a, before + GRAM + b
+
+
 def _ordered(text_buckets: int, shift: int):
     """Of one bucket of open contexts: the spans of windows that smaller documents have."""
 
@@ -304,35 +332,55 @@ def _ordered(text_buckets: int, shift: int):
         mixed = np.minimum.reduceat(docs, first) >> shift < np.maximum.reduceat(docs, first) >> shift
         heads = np.flatnonzero(other & mixed[group])  # the first entry of each distinct string, with its smallest document
         stops = np.append(np.flatnonzero(other)[1:], len(docs))[mixed[group[other]]]
+        if not len(heads):
+            return pa.Table.from_batches([_batch([])])
+        many = (docs[stops - 1] >> shift) > (docs[heads] >> shift)
+        begin, end = _trimmed(e["x"][heads], e["from"][heads].astype(np.int64), e["size"][heads].astype(np.int64), group[heads], many)
+        long = end - begin >= WIDTH
+        heads, stops, begin, end = heads[long], stops[long], begin[long], end[long]
+        # strings that are equal now are one
+        parts: dict[tuple, list[int]] = {}
+        for k, (i, x, y) in enumerate(zip(heads.tolist(), begin.tolist(), end.tolist())):
+            parts.setdefault((int(group[i]), e["x"][i].ljust(CUT, b"\0")[x:y]), []).append(k)
+        count: dict[int, int] = {}
+        for g, _ in parts:
+            count[g] = count.get(g, 0) + 1
         found_docs, found_pos, found_n = [], [], []
-        at = 0
-        while at < len(heads):
-            strings, upto, size = [], at, 0
-            while upto < len(heads) and (size < SA_CHARS or group[heads[upto]] == group[heads[upto - 1]]):
-                i = heads[upto]
-                x = e["x"][i].ljust(int(e["size"][i]), b"\0")  # numpy drops zeros at the end
+
+        def cover(k: int, start: np.ndarray, smallest: np.ndarray) -> None:
+            """The spans of one string's entries: start, smallest: of its windows and of the documents that have them."""
+            base = int(begin[k]) - int(e["from"][heads[k]])
+            for i in range(heads[k], stops[k]):
+                s = start[(smallest >> shift) < (docs[i] >> shift)]
+                if len(s):
+                    breaks = np.flatnonzero(np.diff(s) > 1)
+                    for x, y in zip(s[np.concatenate([[0], breaks + 1])].tolist(), s[np.append(breaks, len(s) - 1)].tolist()):
+                        found_docs.append(docs[i])
+                        found_pos.append(pos[i] + base + x)
+                        found_n.append(y - x + WIDTH)
+
+        strings, held, size = [], [], 0
+        todo = list(parts.items())
+        for at, ((g, x), ks) in enumerate(todo):
+            least = min(int(docs[heads[k]]) for k in ks)
+            if count[g] == 1:  # equal strings need no order
+                n = len(x) - WIDTH + 1
+                for k in ks:
+                    cover(k, np.arange(n), np.full(n, least))
+            else:
                 strings.append(x)
+                held.append((ks, least))
                 size += len(x) + 1
-                upto += 1
-            part = heads[at:upto]
-            of, start, smallest = _runs(strings, docs[part])
-            by = np.lexsort((start, of))
-            of, start, smallest = of[by], start[by], smallest[by]
-            bounds = np.searchsorted(of, np.arange(len(part) + 1))
-            for k in range(len(part)):
-                a, b = bounds[k], bounds[k + 1]
-                if a == b:
-                    continue
-                for i in range(part[k], stops[at + k]):
-                    s = start[a:b][(smallest[a:b] >> shift) < (docs[i] >> shift)]
-                    if len(s):
-                        breaks = np.flatnonzero(np.diff(s) > 1)
-                        base = pos[i] - int(e["from"][i])
-                        for x, y in zip(s[np.concatenate([[0], breaks + 1])].tolist(), s[np.append(breaks, len(s) - 1)].tolist()):
-                            found_docs.append(docs[i])
-                            found_pos.append(base + x)
-                            found_n.append(y - x + WIDTH)
-            at = upto
+            last = at + 1 == len(todo)
+            if strings and (last or size >= SA_CHARS and todo[at + 1][0][0] != g):
+                of, start, smallest = _runs(strings, np.array([v for _, v in held], np.int64))
+                by = np.lexsort((start, of))
+                of, start, smallest = of[by], start[by], smallest[by]
+                bounds = np.searchsorted(of, np.arange(len(strings) + 1))
+                for j, (ks, _) in enumerate(held):
+                    for k in ks:
+                        cover(k, start[bounds[j] : bounds[j + 1]], smallest[bounds[j] : bounds[j + 1]])
+                strings, held, size = [], [], 0
         d = np.array(found_docs, np.int64)
         more = np.zeros(len(d), SPAN)
         more["n"] = found_n
