@@ -82,8 +82,9 @@ def term_holds(table: TextTable, term: Term) -> Column:
     """Any field for a plain term, no field for a negated one; a column that isn't there never has a value."""
     negated = term.mode in NEGATED
     if term.column is not None:
-        v = table.value(term.column)
-        found = F.lit(False) if v is None else _test(table, v, term)
+        i = table.ordinal(term.column)
+        # a plain term holds for no blank, so it can be tested on the stored column and reach the scan
+        found = F.lit(False) if i < 0 else _test(table, table.cell(i) if negated or term.mode == REGEX else table.stored(i), term)
     elif table.uniform:  # plain columns stay in generated code
         found = reduce(operator.or_, (_test(table, table.cell(i), term) for i in range(len(table.names))), F.lit(False))
     else:
@@ -119,6 +120,7 @@ class Filters:
             if (v := table.value(column)) is None:
                 continue
             if len(values) <= LITERAL_VALUES:
+                v = v if "" in values else table.stored(table.ordinal(column))
                 conditions.append(v.isin(*values) if values else F.lit(False))
             else:
                 wanted = df.sparkSession.createDataFrame([(x,) for x in values], "wanted string")

@@ -39,7 +39,7 @@ class TextTable:
 
     @classmethod
     def from_dataframe(cls, df: DataFrame, key: str) -> TextTable:
-        """Every column as text, nulls as blanks; key, an integer column without nulls, gives the order of rows."""
+        """Every column as text, nulls as blanks (when they are read, so filters of stored columns reach the scan); key, an integer column without nulls, gives the order of rows."""
         cells = [_as_text(df.schema[c]).alias(f"c{i}") for i, c in enumerate(df.columns)]
         return cls(df.select(F.col(f"`{key}`").cast("long").alias(ORDER), *cells), tuple(df.columns), True)
 
@@ -49,14 +49,18 @@ class TextTable:
 
     def cell(self, i: int) -> Column:
         """A column's value; blank where a row is too short."""
-        return F.col(f"c{i}") if self.uniform else F.coalesce(F.get("fields", F.lit(i)), F.lit(""))
+        return F.coalesce(F.col(f"c{i}") if self.uniform else F.get("fields", F.lit(i)), F.lit(""))
+
+    def stored(self, i: int) -> Column:
+        """A column as it is stored, for conditions that no blank fulfils: null where a value is missing."""
+        return F.col(f"c{i}") if self.uniform else self.cell(i)
 
     def value(self, name: str) -> Column | None:
         return self.cell(i) if (i := self.ordinal(name)) >= 0 else None
 
     @property
     def fields(self) -> Column:
-        return F.array(*(F.col(f"c{i}") for i in range(len(self.names)))) if self.uniform else F.col("fields")
+        return F.array(*(self.cell(i) for i in range(len(self.names)))) if self.uniform else F.col("fields")
 
     def ragged(self) -> TextTable:
         """With the fields of each row as an array."""
@@ -91,4 +95,4 @@ class TextTable:
 def _as_text(f: T.StructField) -> Column:
     c = F.col(f"`{f.name}`")
     text = c.cast("decimal(18,2)").cast("string") if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c.cast("string")
-    return F.coalesce(text, F.lit(""))
+    return text
