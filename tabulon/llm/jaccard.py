@@ -8,8 +8,8 @@ order is by how often signatures occur, counted over all documents in a sketch o
 comes last. The sketch decides the order alone, never which links are found.
 
 Signatures go to buckets as packed arrays. Sets that share one are compared, first with the smallest id of their group,
-then, where that didn't join all of a group, with the rest that is not yet connected; each link is verified on the whole
-sets. Documents with equal sets count as one.
+then, where that didn't join all of a group, with the rest that is not yet connected. Sizes and parities of shingles in
+parts of the domain rule most unlike pairs out; the rest is verified on the whole sets. Documents with equal sets count as one.
 
 Null or empty text, and text without words: no shingles, no links, a component by itself. Null doc_id: such rows are left
 as components of their own with a null component. Rows with equal doc_id are one document if their texts are equal,
@@ -32,6 +32,8 @@ from .graph import components
 SHINGLE = 5
 #: Counters of the sketch, of which each slice is one row.
 SKETCH_BITS, SLICES = 20, 16
+#: Bits of the parities that rule pairs out before sets are moved.
+PARITY_BITS = 11
 #: Signatures in a bucket, about.
 BUCKET = 1_500_000
 BAND, SMALL = 4, 64
@@ -106,9 +108,31 @@ def signatures(shingles: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return out
 
 
+def _parities(shingles: np.ndarray) -> bytes:
+    """For each of 2^PARITY_BITS parts of the domain whether a set has an odd number of shingles there."""
+    return np.packbits(np.bincount((shingles >> np.uint64(64 - PARITY_BITS)).astype(np.int64), minlength=1 << PARITY_BITS) & 1).tobytes()
+
+
+def _plausible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and parities don't rule out: each part where the parities differ has a shingle that only one
+    of the sets has, so their number is at most that of all such shingles. No similar pair is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (4, 5))
+                least = np.maximum(np.bitwise_count(x ^ y).sum(1, dtype=np.int64), np.abs(na - nb))
+                yield batch.select([0, 1]).filter(pa.array(least * (100 + percent) <= (na + nb) * (100 - percent)))
+
+    side = lambda c: sizes.where("n > 0").select(F.col("doc_id").alias(c), F.col("n").alias("n" + c), F.col("bits").alias("x" + c))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def _sets_and_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and rows with slices of the sketch (piece at least 0)."""
-    names = ["piece", "doc_id", "mark", "n", "a", "b", "counts"]
+    names = ["piece", "doc_id", "mark", "n", "a", "b", "counts", "bits"]
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
@@ -119,10 +143,10 @@ def _sets_and_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             a = np.array([np.bitwise_xor.reduce(mix(x)) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
             b = np.array([np.add.reduce(mix(x + np.uint64(9))) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
             k = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, -1, np.int32)), batch.column(0).slice(at, 128), batch.column(2).slice(at, 128), pa.array([len(x) for x in sets], pa.int64()), pa.array(a), pa.array(b), pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, -1, np.int32)), batch.column(0).slice(at, 128), batch.column(2).slice(at, 128), pa.array([len(x) for x in sets], pa.int64()), pa.array(a), pa.array(b), pa.nulls(k, pa.binary()), pa.array([_parities(x) for x in sets], pa.binary())], names=names)
     counts = [x.astype("<i8").tobytes() for x in np.split(sketch, SLICES)]
     zero = pa.array(np.zeros(SLICES, np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), zero, zero, zero, zero, zero, pa.array(counts, pa.binary())], names=names)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), zero, zero, zero, zero, zero, pa.array(counts, pa.binary()), pa.nulls(SLICES, pa.binary())], names=names)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,6 +284,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long").distinct()
 
 
+SET = "doc_id long, center long, s binary"
+
+
+def _sets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of all documents in pairs."""
+    ids = staged(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select("b").toDF("doc_id")).distinct(), "needed")
+    return staged(rows.join(ids, "doc_id").select("doc_id", F.lit(None).cast("long").alias("center"), "text").mapInArrow(_set_rows, SET), "shingles")
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
@@ -281,7 +314,7 @@ def linked(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
         raise ValueError("the signatures' bounds hold from 75 % on")
     spark = docs.sparkSession
     rows = with_ids(docs).withColumn("mark", F.xxhash64("text"))
-    first = staged(rows.mapInArrow(_sets_and_sketch, "piece int, doc_id long, mark long, n long, a long, b long, counts binary"), "sets")
+    first = staged(rows.mapInArrow(_sets_and_sketch, "piece int, doc_id long, mark long, n long, a long, b long, counts binary, bits binary"), "sets")
     sizes = first.where(F.col("piece") < 0)
     slices = first.where(F.col("piece") >= 0).select("piece", "counts")
     # partial sums where the slices lie, then one row for each slice: 8 MB in all
@@ -301,11 +334,12 @@ def linked(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     plain = staged(copies.join(whole.groupBy("doc_id").count().where("count > 1"), "doc_id", "left_anti"), "plain-copies")
     packed = rows.select("doc_id", "text").mapInArrow(_emit(held, buckets), "bucket int, least long, wide boolean, sigs binary, docs binary")
     groups = staged(packed.groupBy("bucket").applyInArrow(_groups, "least long, members binary"), "groups")
-    stars = staged(_merged(groups.mapInArrow(_stars, "a long, b long").distinct(), plain), "stars")
+    met = staged(_merged(groups.mapInArrow(_stars, "a long, b long").distinct(), plain), "met")
+    stars = staged(_plausible(met, sizes, percent), "stars")
     # each document is compared with the least of its partners first, so its set travels beside that one's id
     ends = stars.select(F.col("b").alias("doc_id"), F.col("a").alias("center")).unionByName(stars.select(F.col("a").alias("doc_id"), F.lit(None).cast("long").alias("center")))
     needed = staged(ends.groupBy("doc_id").agg(F.min("center").alias("center")), "needed")
-    sets = staged(rows.join(needed, "doc_id").select("doc_id", "center", "text").mapInArrow(_set_rows, "doc_id long, center long, s binary"), "shingles")
+    sets = staged(rows.join(needed, "doc_id").select("doc_id", "center", "text").mapInArrow(_set_rows, SET), "shingles")
     centers = sets.select(F.col("doc_id").alias("center"), F.col("s").alias("sa"))
     near = sets.where(F.col("center").isNotNull()).join(centers, "center").select("center", "doc_id", "sa", F.col("s").alias("sb"))
     links = staged(near.mapInArrow(_verify(percent), "center long, doc_id long").toDF("a", "b").distinct(), "links")
@@ -313,14 +347,14 @@ def linked(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
         labels = components(links)
         at = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias("c" + c))
         apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
-        open_ = stars.join(at("a"), "a", "left").join(at("b"), "b", "left").where(apart).select("a", "b")
+        open_ = (stars if step == "stars" else met).join(at("a"), "a", "left").join(at("b"), "b", "left").where(apart).select("a", "b")
         if step == "stars":  # those that were compared already
             open_ = open_.join(needed.select(F.col("doc_id").alias("b"), F.col("center").alias("a")), ["a", "b"], "left_anti")
         else:
-            open_ = _others(groups, open_, labels, plain)
+            open_ = _plausible(_others(groups, open_, labels, plain), sizes, percent)
         open_ = staged(open_, "pairs")
         if not open_.isEmpty():
-            links = staged(links.unionByName(_verified(open_, sets, percent)).distinct(), "links")
+            links = staged(links.unionByName(_verified(open_, sets if step == "stars" else _sets(rows, open_), percent)).distinct(), "links")
     return sizes.select("doc_id", "mark", "n"), components(links.unionByName(copies.select(F.col("least").alias("a"), F.col("doc_id").alias("b"))))
 
 
