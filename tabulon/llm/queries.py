@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, audio, chat, jaccard, line_dedup, packing, suffix_dedup, tokens, toxicity, url_filter
 from .common import table
@@ -23,8 +24,7 @@ def vocabulary(name: str) -> str:
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = "\\### Assistant: </turn> ok"
-    more = spark.range(2).selectExpr("-7L conv_id", "id turn", "if(id = 0, 'user', 'assistant') role").crossJoin(spark.createDataFrame([(probe,)], "text string"))
+    more = spark.range(2).selectExpr("-7L conv_id", "id turn", "if(id = 0, 'user', 'assistant') role").withColumn("text", F.lit("\\### Assistant: </turn> ok"))
     return chat.digests(chat.chains(rows.unionByName(more)))
 
 
