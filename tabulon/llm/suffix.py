@@ -97,14 +97,3 @@ def suffix_array(text: np.ndarray) -> list[int]:
         put(out[i] - 1)
     return out
 
-
-def equal_windows(text: np.ndarray, order: list[int], width: int) -> np.ndarray:
-    """For the suffixes in order whether each starts with the same width symbols as the one before it."""
-    sa = np.asarray(order)
-    padded = np.concatenate([text, -1 - np.arange(width)])
-    same = np.ones(len(sa), bool)
-    same[:1] = False
-    for k in range(width):
-        x = padded[sa + k]
-        same[1:] &= x[1:] == x[:-1]
-    return same
