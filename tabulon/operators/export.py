@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from datetime import date
 from typing import BinaryIO, Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabulon.functions.text import csv_field, csv_value, tsv_field, tsv_value

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .files import FileBytes
-from .layout import Layout, read_layout
+from .layout import Layout
 
 LEAST, MOST, BATCH = 4 << 20, 64 << 20, 1 << 20
 SCHEMA = "chunk_id int, pos long, off long, raw string"
@@ -105,6 +105,3 @@ def section_fields(spark: SparkSession, layout: Layout, section: int = 0, chunk_
     rows = numbered(raw_rows(spark, layout, section, chunk_bytes))
     return rows.select("row_idx", F.split("raw", "\\Q" + layout.delimiter + "\\E", -1).alias("fields"))
 
-
-def open_layout(path: str) -> Layout:
-    return read_layout(path)
