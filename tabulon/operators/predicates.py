@@ -85,6 +85,8 @@ def term_holds(table: TextTable, term: Term) -> Column:
         i = table.ordinal(term.column)
         # a plain term holds for no blank, so it can be tested on the stored column and reach the scan
         found = F.lit(False) if i < 0 else _test(table, table.cell(i) if negated or term.mode == REGEX else table.stored(i), term)
+    elif "raw" in table.df.columns and term.mode in (CONTAINS, NOT_CONTAINS) and not any(c in term.text for c in f"{table.layout.delimiter}\r\n"):
+        found = _test(table, F.col("raw"), term)  # no field's end can be within the text, so the line has it as a field does
     elif table.uniform:  # plain columns stay in generated code
         found = reduce(operator.or_, (_test(table, table.cell(i), term) for i in range(len(table.names))), F.lit(False))
     else:

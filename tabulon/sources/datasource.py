@@ -101,7 +101,9 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def section_fields(spark: SparkSession, layout: Layout, section: int = 0, chunk_bytes: int = 0) -> DataFrame:
-    """row_idx and fields of a section: rows stay as long as they are, trailing empty fields included."""
+    """row_idx, raw and fields of a section: rows stay as long as they are, trailing empty fields included.
+
+    Fields are split from raw where they are read; a search of whole lines never splits."""
     rows = numbered(raw_rows(spark, layout, section, chunk_bytes))
-    return rows.select("row_idx", F.split("raw", "\\Q" + layout.delimiter + "\\E", -1).alias("fields"))
+    return rows.select("row_idx", "raw", F.split("raw", "\\Q" + layout.delimiter + "\\E", -1).alias("fields"))
 

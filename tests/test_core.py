@@ -54,6 +54,13 @@ def test_uniform_and_ragged_tables_agree(spark):
         assert ids(Filters(query=q).apply(t)) == ids(Filters(query=q).apply(t.ragged()))
 
 
+def test_lines_are_searched_as_fields_are(spark, prices):
+    plain = TextTable(prices.df.drop("raw"), prices.names)
+    for t in (Term("sec002"), Term("K equity"), Term("0|0"), Term("1", P.NOT_CONTAINS), Term("SEC003", case=True), Term("sec003", P.NOT_CONTAINS, None, True), Term("|")):
+        assert ids(Filters(query=Query((t,))).apply(prices)) == ids(Filters(query=Query((t,))).apply(plain)), t
+    assert "split" not in Filters(query=Query.of("sec")).apply(prices).df.select("row_idx")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_filters_combine(ragged):
     assert ids(Filters().with_values("name", {"beta", "GAMMA"}).with_pattern("more", "Y").apply(ragged)) == [1]
     assert ids(Filters().with_values("more", {""}).apply(ragged)) == [0, 2, 3]
