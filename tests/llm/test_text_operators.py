@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tabulon.llm import audio, jaccard, line_dedup, packing, suffix_dedup, tokens
+from tabulon.llm import audio, graph, jaccard, line_dedup, packing, suffix_dedup, tokens
 from tabulon.llm.queries import vocabulary
 from tabulon.llm.suffix import suffix_array
 
@@ -209,6 +209,13 @@ def test_similarity_join_of_hot_groups(spark):
     assert got(jaccard.jaccard_components(df), "doc_id", "n_shingles", "component_id") == sorted(expected_components(rows), key=repr)
 
 
+@pytest.mark.parametrize("chain", [[0, *range(200, 1, -1)], list(range(150)), [0, *(x for i in range(1, 60) for x in (i, 100 + i))]])
+def test_components_of_long_chains(spark, chain):
+    """Each id is linked to the next only; in the first, a small id meets a region that has settled on another."""
+    links = spark.createDataFrame(list(zip(chain, chain[1:])), "a long, b long").coalesce(1)
+    assert {r["id"]: r["component"] for r in graph.components(links).collect()} == dict.fromkeys(chain, 0)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 700), st.integers(0, 10**6), st.floats(0, 0.4))
 def test_similar_sets_share_a_kept_signature(m, seed, changed):
