@@ -3,8 +3,8 @@
 Rules fit a host and its subdomains and a path by prefix; the longest wins. They are joined to distinct hosts, not to
 pages. Seeds: a host that a block rule fits as a whole is blocked, one that only allow rules reach is trusted. Links between
 hosts, counted per pair before any shuffle, carry personalised PageRank forward from the trusted seeds and distrust
-backward from the blocked ones (who links to a bad host is worse for it). Both are sums to one over all hosts; a host is
-blocked if its part of distrust in both is above the threshold.
+backward from the blocked ones (who links to a bad host is worse for it), at any distance. Both are sums to one over all
+hosts; a host is blocked if its part of distrust in both is above the threshold.
 
 Null URLs, and those without `://`: empty host and path, no rule, allowed. Null page ids stay null; repeated rows give
 repeated results; an empty table gives none. Null html: no links. Only page_id, url and html are read.
@@ -12,14 +12,18 @@ repeated results; an empty table gives none. Null html: no links. Only page_id,
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import drop_staged, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hosts up to which their verdicts are broadcast; beyond, they are joined by a shuffle that splits skewed hosts.
 BROADCAST_HOSTS = 100_000
+#: The smallest score of a host that was reached, however far away: a product of many parts would become 0.
+LEAST = 1e-300
 Rule = tuple[str, str, str]
 HREF = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*[\"']?([^\"'\s>]+)"
 
@@ -60,30 +64,40 @@ def links(pages: DataFrame) -> DataFrame:
     return rows.where((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
     """way, host, score. edges: src, dst, n. seeds: way (trust or distrust), host; distrust takes the edges backward.
 
-    What hosts without links onward hold goes back to the seeds."""
+    What hosts without links onward hold goes back to the seeds. Rounds go on until no host is reached for the first time
+    and, if both ways reach any, no score moves by more than its own size times tolerance: a score's size depends on the
+    number of seeds, and a host's verdict on the ratio of its scores, or on which way reaches it where only one does. A
+    round's largest such move is never below a later one's once all hosts are reached. rounds: at most so many."""
     both = edges.select(F.lit("trust").alias("way"), "src", "dst", "n").unionByName(edges.select(F.lit("distrust").alias("way"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("way", "src").agg(F.sum("n").alias("all"))
     steps = staged(both.join(out, ["way", "src"]).select("way", "src", "dst", (F.col("n") / F.col("all")).alias("part")), "steps")
-    count = seeds.groupBy("way").agg(F.count("*").alias("m"))
-    start = staged(seeds.join(F.broadcast(count), "way").select("way", "host", (1 / F.col("m")).alias("seed")), "seeds")  # two counts
+    many = seeds.groupBy("way").agg(F.count("*").alias("m"))
+    start = staged(seeds.join(F.broadcast(many), "way").select("way", "host", (1 / F.col("m")).alias("seed")), "seeds")  # two counts
     ranks = start.select("way", "host", F.col("seed").alias("score"))
     if steps.isEmpty():
         return ranks
     sources = staged(steps.select("way", F.col("src").alias("host")).distinct(), "sources")
-    for _ in range(rounds):
+    contested = None
+    for _ in count() if rounds is None else range(rounds):
         flow = ranks.join(steps, (ranks["way"] == steps["way"]) & (F.col("host") == F.col("src"))).groupBy(steps["way"], "dst").agg(F.sum(F.col("score") * F.col("part")).alias("flow"))
         held = ranks.join(sources, ["way", "host"], "left_anti").groupBy("way").agg(F.sum("score").alias("held"))
         back = {r["way"]: r["held"] for r in held.collect()}  # two rows
         part = F.when(F.col("way") == "trust", F.lit(back.get("trust", 0.0))).otherwise(F.lit(back.get("distrust", 0.0)))
         new = flow.select("way", F.col("dst").alias("host"), "flow").join(start, ["way", "host"], "full_outer")
         score = damping * F.coalesce("flow", F.lit(0.0)) + F.coalesce("seed", F.lit(0.0)) * (1 - damping + damping * part)
-        new = staged(new.select("way", "host", score.alias("score")), "ranks")
-        moved = new.join(ranks.select("way", "host", F.col("score").alias("old")), ["way", "host"], "left").agg(F.max(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))).head()[0]
+        new = staged(new.select("way", "host", F.greatest(score, F.lit(LEAST)).alias("score")), "ranks")
+        change = F.when(F.col("old").isNull(), F.lit(float("inf"))).otherwise(F.abs(F.col("score") - F.col("old")) / F.col("score"))
+        moved = new.join(ranks.select("way", "host", F.col("score").alias("old")), ["way", "host"], "left").agg(F.max(change)).head()[0]
+        drop_staged(ranks)
         ranks = new
-        if moved is None or moved < tolerance:
+        if moved is None or moved <= tolerance:
+            break
+        if contested is None and moved < float("inf"):  # all are reached
+            contested = not ranks.groupBy("host").count().where("count > 1").isEmpty()
+        if contested is False:
             break
     return ranks
 

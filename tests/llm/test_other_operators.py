@@ -96,6 +96,20 @@ def test_propagation_matches_power_iteration(spark):
         assert np.allclose([got.get((way, n), 0.0) for n in names], x)
 
 
+def test_distrust_does_not_depend_on_the_number_of_seeds(spark):
+    """A score of one in 1.2 million seeds is small, but hosts two links from a blocked one are reached all the same."""
+    edges = spark.createDataFrame([("near.com", "s0.net", 1), ("far.com", "near.com", 1)], "src string, dst string, n long")
+    seeds = spark.range(1_200_000).select(F.lit("distrust").alias("way"), F.concat(F.lit("s"), F.col("id"), F.lit(".net")).alias("host"))
+    out = url_filter.propagated(edges, seeds).where("host like '%.com'").collect()
+    assert sorted(r["host"] for r in out) == ["far.com", "near.com"] and all(r["score"] > 0 for r in out)
+
+
+def test_distrust_reaches_any_distance(spark):
+    pages = [(i, f"http://h{i}.com/", f"<a href='http://{f'h{i - 1}.com' if i else 'bad.net'}/'>x</a>") for i in range(22)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    assert {r["verdict"] for r in url_filter.judged(df, RULES).collect()} == {"block"}
+
+
 def nearest(vectors, every, k):
     ids = [i for i, v in vectors]
     x = np.array([v for _, v in vectors], np.float64)
