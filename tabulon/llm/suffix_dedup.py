@@ -13,7 +13,7 @@ Entries travel as packed arrays. What one task has several times it sends once (
 settled there. Strings are compared by 64 bits of hash beside the anchor's in step 2, byte by byte in step 3.
 
 Null or empty text, and texts shorter than a window: nothing goes. Null doc_id: smaller than every other. Rows with equal
-ids never remove each other's bytes (up to 256 different texts of one id are told apart). Empty table: no rows. Operators
+ids never remove each other's bytes; however many different texts one id has, each has a key of its own. Empty table: no rows. Operators
 read doc_id and text; other columns can't clash, and without_repeats gives them back as they are.
 """
 
@@ -424,14 +424,19 @@ def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     marks = rows.select("id", F.xxhash64("text").alias("mark")).distinct()
     twice = marks.groupBy("id").count().where("count > 1")
     shift = 0
-    if not twice.isEmpty():
-        shift = 8
+    if (many := twice.agg(F.max("count")).head()[0]) is not None:
+        shift = (many - 1).bit_length()
         number = F.row_number().over(Window.partitionBy("id").orderBy("mark")) - 1
         told = marks.join(twice.select("id"), "id", "left_semi").withColumn("number", number)
-        # ids of any size become small numbers in the same order, with room for the texts of one id
+        # ids of any size become small numbers in the same order, with room for the texts of the id that has most
         every = marks.select("id").distinct().repartitionByRange("id").sortWithinPartitions("id")
-        small = staged(every.select("id", F.monotonically_increasing_id().alias("small")), "ids")
-        key = F.shiftleft(F.col("small"), shift) + F.least(F.coalesce("number", F.lit(0)), F.lit(255))
+        at = F.monotonically_increasing_id()  # the partition above 33 bits for the place in it
+        small = staged(every.select("id", F.shiftright(at, 33).alias("part"), at.bitwiseAND((1 << 33) - 1).alias("place")), "ids")
+        parts, places = (x.bit_length() for x in small.agg(F.max("part"), F.max("place")).head())
+        if parts + places + shift > 63:
+            raise ValueError("too many ids with too many texts for keys of 63 bits")
+        small = small.select("id", F.shiftleft("part", places).bitwiseOR(F.col("place")).alias("small"))
+        key = F.shiftleft(F.col("small"), shift) + F.coalesce("number", F.lit(0))
         rows = rows.withColumn("mark", F.xxhash64("text")).join(told, ["id", "mark"], "left").join(small, "id").withColumn("id", key).drop("mark", "number", "small")
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets, text_buckets = max(8, -(-total * 6 // (100 * ENTRIES))), max(8, -(-total // TEXT_BUCKET))

@@ -274,6 +274,21 @@ def test_suffix_dedup_of_spliced_texts(spark, seed):
     assert got(suffix_dedup.removal_digests(df), *COLUMNS) == sorted(expected_removals(rows), key=repr)
 
 
+@pytest.mark.parametrize("hot", [None, 7])
+def test_suffix_dedup_of_many_texts_of_one_id(spark, hot):
+    """More than 256 texts of one id, each with its own part of a passage that another document has, too."""
+    r = np.random.default_rng(3)
+    passage = "".join(r.choice(list("abcdefgh"), 400))
+    say = lambda n: "".join(r.choice(list("ijklmnop"), int(n)))
+    rows = [(3, say(30) + passage)]
+    for _ in range(330):
+        a = int(r.integers(0, 300))
+        rows.append((hot, say(r.integers(1, 60)) + passage[a : a + int(r.integers(45, 100))] + say(r.integers(1, 60))))
+    rows.append((9, passage + say(40) + rows[-1][1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    assert got(suffix_dedup.removal_digests(df), *COLUMNS) == sorted(expected_removals(rows), key=repr)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=60))
 def test_suffix_array(x):
