@@ -368,8 +368,10 @@ def _others(groups: DataFrame, open_: DataFrame, labels: DataFrame, copies: Data
                 key = int(mix(np.array([np.add.reduce(mix(x.view(np.uint64)))]))[0] >> np.uint64(1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), key, np.int64)), pa.array(x)], names=["g", "id"])
 
-    # a group's least member may stand for another one of its class
-    ids = open_.select(F.col("a").alias("least")).distinct()
+    # a group's least member may stand for another one of its class, which is b of a pair if the other member's class is less
+    # than that member, so if a has copies
+    hidden = open_.join(copies.select(F.col("least").alias("a")), "a", "left_semi").select(F.col("b").alias("least"))
+    ids = open_.select(F.col("a").alias("least")).unionByName(hidden).distinct()
     ids = ids.unionByName(copies.join(ids, "least", "left_semi").select(F.col("doc_id").alias("least")))
     members = groups.join(ids, "least", "left_semi").select("members").distinct().mapInArrow(exploded, "g long, id long")
     members = members.join(copies.select(F.col("doc_id").alias("id"), "least"), "id", "left").select("g", F.coalesce("least", "id").alias("id")).distinct()

@@ -209,6 +209,21 @@ def test_similarity_join_of_hot_groups(spark):
     assert got(jaccard.jaccard_components(df), "doc_id", "n_shingles", "component_id") == sorted(expected_components(rows), key=repr)
 
 
+def test_similarity_join_of_groups_whose_least_member_is_no_class(spark):
+    """Three similar texts share the signatures they keep; the smallest of them links to one only, and the other one has a
+    copy with a smaller id, which comes later in its task."""
+    w = [f"w{i}" for i in range(11)]
+    first, middle, last = w, [*w[:10], "x"], ["y", *w[1:10], "x"]
+    rows = [(100, first), (300, middle), (200, last), (50, last)]
+    for i in range(20):  # make the ends of first and middle frequent, so that what all three share is kept
+        rows.append((1000 + i, [*(first if i % 2 else middle)[6:], *(f"n{i}_{k}" for k in range(14))]))
+    rows = [(i, " ".join(x)) for i, x in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    expected = expected_components(rows)
+    assert {c for d, _, c in expected if d < 1000} == {50}
+    assert got(jaccard.jaccard_components(df), "doc_id", "n_shingles", "component_id") == sorted(expected, key=repr)
+
+
 @pytest.mark.parametrize("chain", [[0, *range(200, 1, -1)], list(range(150)), [0, *(x for i in range(1, 60) for x in (i, 100 + i))]])
 def test_components_of_long_chains(spark, chain):
     """Each id is linked to the next only; in the first, a small id meets a region that has settled on another."""
