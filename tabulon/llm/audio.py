@@ -147,28 +147,28 @@ def media_columns(docs: DataFrame, batch: int = 64) -> DataFrame:
     return with_ids(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary, starts array<double>, ends array<double>, tensors array<array<float>>").withColumn("doc_id", id_back())
 
 
-def described(media: bytes) -> str:
+def described(starts: np.ndarray, ends: np.ndarray, tensors: np.ndarray) -> str:
     """Number of spans, seconds in them and a digest of spans and tensors."""
-    times, tensors = features(media)
-    digest = hashlib.sha256(np.round(np.array(times), 6).tobytes() + np.round(tensors, 3).tobytes()).hexdigest()
-    return f"spans={len(times)} seconds={sum(b - a for a, b in times):.3f} frames={'x'.join(map(str, SHAPE))} sha256={digest}"
+    digest = hashlib.sha256(np.round(np.stack([starts, ends], 1), 6).tobytes() + np.round(tensors, 3).tobytes()).hexdigest()
+    return f"spans={len(starts)} seconds={sum((ends - starts).tolist()):.3f} frames={'x'.join(map(str, SHAPE))} sha256={digest}"
 
 
 def media_digests(docs: DataFrame, batch: int = 256) -> DataFrame:
-    """The media columns of each document as sizes, checksums and a description of the features."""
+    """The media columns of each document as sizes, checksums and a description of the features, from media_columns' rows."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
-    def one(text: str) -> tuple:
-        raw = text.encode()
-        media = stored(payload_of(raw))
+    def one(media: bytes, starts: pa.Scalar, ends: pa.Scalar, tensors: pa.Scalar) -> tuple:
         back = read_back(media)
-        return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), described(media)
+        shaped = tensors.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, *SHAPE)
+        feature = described(starts.values.to_numpy(zero_copy_only=False), ends.values.to_numpy(zero_copy_only=False), shaped)
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, batch):
-                rows = list(zip(*(one(x) for x in b.column(1).slice(at, batch).to_pylist())))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, batch), *map(pa.array, rows, kinds)], names=names)
+                part = b.slice(at, batch)
+                rows = list(zip(*(one(m.as_py(), *x) for m, *x in zip(*(part.column(i) for i in range(2, 6))))))
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, rows, kinds)], names=names)
 
-    return with_ids(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumn("doc_id", id_back())
+    return media_columns(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -148,6 +148,20 @@ def test_media(docs, rows):
     assert all(a < b for a, b in zip(wide["starts"], wide["ends"]))
 
 
+def test_media_digests_describe_the_media_columns(spark, docs, monkeypatch):
+    """The digests are those of the operator's rows, and equal those of features made by themselves."""
+    columns = audio.media_columns
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id in (3, 10, 21)").collect()}
+    monkeypatch.setattr(audio, "media_columns", lambda *x: columns(*x).where("doc_id in (3, 10, 21)"))
+    out = audio.media_digests(docs).collect()
+    assert {r["doc_id"] for r in out} == set(texts) and len(out) == 3
+    for r in out:
+        media = audio.stored(audio.payload_of((texts[r["doc_id"]] or "").encode()))
+        times, tensors = audio.features(media)
+        digest = hashlib.sha256(np.round(np.array(times), 6).tobytes() + np.round(tensors, 3).tobytes()).hexdigest()
+        assert r["media_sha256"] == sha(media) and r["feature"] == f"spans={len(times)} seconds={sum(b - a for a, b in times):.3f} frames=8x16 sha256={digest}"
+
+
 def test_audio_parts():
     tone = (np.sin(np.arange(4000) * 2 * np.pi * 300 / audio.RATE) * 100 + 128).astype(np.uint8)
     x = audio.resampled(tone)
