@@ -42,6 +42,7 @@ ENTRIES, TEXT_BUCKET, FLUSH = 1_000_000, 16 << 20, 1 << 21
 SA_CHARS = 200_000
 MASK = 0xFFFFFFFFFFFFFFFF
 _FULL = np.uint64(MASK)
+SEED = np.uint64(0x9FB21C651E98DF25)
 COVERED, OPEN = 0, 1
 PACKED = "bucket int, kind int, least long, wide boolean, docs binary, pos binary, more binary"
 _NAMES = [x.split()[0] for x in PACKED.split(", ")]
@@ -94,8 +95,8 @@ def anchors(raw: list[bytes]) -> tuple[np.ndarray, ...]:
     ends = np.cumsum(raw_len)
     begins = ends - raw_len
     loaded = windows8(data, 64)
-    h = mix(loaded[:n] ^ mix(loaded[8 : n + 8]))
-    order = (h >> np.uint64(32)).astype(np.uint32)
+    h = mix(loaded[:n] ^ mix(loaded[8 : n + 8] ^ SEED))  # mix keeps 0, which NUL bytes would have
+    order = np.maximum((h >> np.uint64(32)).astype(np.uint32), 1)  # 0 is for places where no window starts
     low = order.copy()
     span = 1
     while span < SIDE + 1:  # low: the smallest of SIDE + 1 hashes from each place
@@ -109,7 +110,7 @@ def anchors(raw: list[bytes]) -> tuple[np.ndarray, ...]:
         step = min(span, SIDE + 1 - span)
         low[step:] = np.maximum(low[step:], low[:-step].copy())
         span += step
-    at = np.flatnonzero((low == order) & (order > 0))
+    at = np.flatnonzero(low == order)
     text = np.searchsorted(ends, at, "right")
     keep = at + GRAM <= ends[text]
     at, text = at[keep], text[keep]
@@ -323,14 +324,15 @@ def _ordered(text_buckets: int, shift: int):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         docs, pos, e = _unpacked(table, CONTEXT)
-        order = np.lexsort((docs, e["size"], e["x"], e["g"]))
+        # in runs of one symbol equal strings may have their anchors at different places
+        order = np.lexsort((docs, e["from"], e["size"], e["x"], e["g"]))
         docs, pos, e = docs[order], pos[order], e[order]
         new = np.concatenate([[True], e["g"][1:] != e["g"][:-1]])
-        other = new | np.concatenate([[True], (e["x"][1:] != e["x"][:-1]) | (e["size"][1:] != e["size"][:-1])])
+        other = new | np.concatenate([[True], (e["x"][1:] != e["x"][:-1]) | (e["size"][1:] != e["size"][:-1]) | (e["from"][1:] != e["from"][:-1])])
         first = np.flatnonzero(new)
         group = np.cumsum(new) - 1
         mixed = np.minimum.reduceat(docs, first) >> shift < np.maximum.reduceat(docs, first) >> shift
-        heads = np.flatnonzero(other & mixed[group])  # the first entry of each distinct string, with its smallest document
+        heads = np.flatnonzero(other & mixed[group])  # the first entry of each distinct string and place, with its smallest document
         stops = np.append(np.flatnonzero(other)[1:], len(docs))[mixed[group[other]]]
         if not len(heads):
             return pa.Table.from_batches([_batch([])])

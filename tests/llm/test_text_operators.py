@@ -318,6 +318,22 @@ def test_suffix_dedup_of_many_texts_of_one_id(spark, hot):
     assert got(suffix_dedup.removal_digests(df), *COLUMNS) == sorted(expected_removals(rows), key=repr)
 
 
+def test_suffix_dedup_of_runs_of_nul(spark):
+    """Runs of NUL bytes, alone, between other bytes and at the ends of texts; the same with another symbol."""
+    texts = ["ab" * 9 + "\0" * 200 + "first", "second" + "\0" * 200 + "cd" * 9, "\0" * 120, "e" * 40 + "\0" * 60, "\0" * 49 + "f", "no zeros here, " * 5]
+    rows = list(enumerate(texts + [x.replace("\0", "x") for x in texts]))
+    assert expected_removals(rows)[1][2] == 200
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(suffix_dedup.removal_digests(df), *COLUMNS) == sorted(expected_removals(rows), key=repr)
+
+
+def test_any_hash_makes_an_anchor(monkeypatch):
+    """Every window has an anchor, also where its smallest hash is 0."""
+    monkeypatch.setattr(suffix_dedup, "mix", lambda x: x & np.uint64(0xFFFFFFFF))
+    text, place, *_ = suffix_dedup.anchors([b"abcdefghij" * 12])
+    assert all(((place >= i) & (place <= i + suffix_dedup.SIDE)).any() for i in range(120 - 49))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=60))
 def test_suffix_array(x):
