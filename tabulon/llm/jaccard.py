@@ -1,4 +1,7 @@
-"""N-gram Jaccard join by PartEnum signatures: every link of 0.75 or more, and the components that links make.
+"""N-gram Jaccard join by PartEnum signatures: the components that all links of 0.75 or more make.
+
+Only components come out: pairs that already lie in one component are not compared, so neither all links nor a document's
+number of links can be had from here.
 
 Sets of one size band divide the shingles' domain into the same partitions (small sets: a partition for each shingle).
 Similar sets differ in few shingles, so in few partitions: of the partitions that a set fills, at most
