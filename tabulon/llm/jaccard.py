@@ -1,18 +1,24 @@
-"""N-gram Jaccard join by PartEnum signatures: the components that all links of 0.75 or more make.
+"""N-gram Jaccard join by PartEnum signatures: the components that all links of the threshold or more make.
 
 Only components come out: pairs that already lie in one component are not compared, so neither all links nor a document's
 number of links can be had from here.
 
-Sets of one size band divide the shingles' domain into the same partitions (small sets: a partition for each shingle).
-Similar sets differ in few shingles, so in few partitions: of the partitions that a set fills, at most
-k = (its size + the largest size of a partner) / 7 differ from any partner's. Each filled partition with its content is a
-signature; in any order common to all sets, the first k + 1 signatures of both partners have one in common. The
-order is by how often signatures occur, counted over all documents in a sketch of fixed size, so what many documents share
-comes last. The sketch decides the order alone, never which links are found.
-
-Signatures go to buckets as packed arrays. Sets that share one are compared, first with the smallest id of their group,
-then, where that didn't join all of a group, with the rest that is not yet connected. Sizes and parities of shingles in
-parts of the domain rule most unlike pairs out; the rest is verified on the whole sets. Documents with equal sets count as one.
+1. Shingles go to buckets by their hash, and the number of different sets that hold each is counted. A shingle of one set
+   alone counts towards the distance of that set to any other, so it needs no signature; what comes back to a set is the rest
+   of it, with counts. A set of m shingles, c of them its own, has no partner above M = (m - c)(100 + p)/p - m shingles, and
+   differs from a partner in at most k = (100 - p)(m + M)/(100 + p) - c more; most sets are done here.
+2. Size bands (each 100/p times the one before; a set takes part in its own and the next) divide the domain of shingles into
+   partitions of CELLS cells. The content of each subset of CELLS - DIFFER cells is a signature, empty ones left out. To lose
+   all signatures of a partition with f filled cells takes min(DIFFER + 1, f) differences, so once these sum up to more than
+   k over the first partitions, every partner shares one of their signatures: either partner's sum is enough, as the other
+   has at least as many partitions or as few as already suffice. Only shingles of at most RARE sets enter, so a signature has
+   at most RARE members.
+3. Sets whose sum is not enough, as what they hold is mostly common, share subsets of one: in the order by count, the first
+   shingle that partners x and y have in common is at most the (m_x - p(m_x + m_y)/(100 + p))-th of x. Each carries the
+   largest size of a partner that it can be the first for.
+4. Sets that share signatures are compared with the least edited one of their group, one row for each set. Where a group
+   then lies in several components, those outside its largest are compared with the rest, as far as sizes, counts and the
+   bounds of 3 allow. Pairs are verified on the 64-bit hashes of the shingles. Sets that are equal count as one.
 
 Null or empty text, and text without words: no shingles, no links, a component by itself. Null doc_id: such rows are left
 as components of their own with a null component. Rows with equal doc_id are one document if their texts are equal,
@@ -22,25 +28,30 @@ else their links are joined. Empty table: no rows. Only doc_id and text are read
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, id_back, mix, staged, windows8, with_ids
 from .graph import components
 
 SHINGLE = 5
-#: Counters of the sketch, of which each slice is one row.
-SKETCH_BITS, SLICES = 20, 16
-#: Bits of the parities that rule pairs out before sets are moved.
-PARITY_BITS = 11
-#: Signatures in a bucket, about.
-BUCKET = 1_500_000
-BAND, SMALL = 4, 64
-NEXT = 1 << 21
+#: Cells of a partition, and how many of them may differ; shingles a partition on average in the largest sets of a band.
+CELLS, DIFFER, LOAD = 3, 1, 4.0
+#: Sets that a shingle of a partition may be in, at most.
+RARE = 16
+#: Shingles that more sets hold are grouped by Spark's joins, which split them; the rest in buckets.
+HOT = 10_000
+#: Shingles in a bucket, at least and at most, and buckets between these.
+BUCKET, LARGEST, BUCKETS = 500_000, 8_000_000, 4096
+#: Shingles and texts of a part of the input that are packed together.
+NEXT, TEXTS = 1 << 21, 60_000
+NO_LIMIT = 2**31 - 1
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -48,6 +59,7 @@ _WORD = np.ones(256, bool)
 _WORD[[32, 9, 10, 11, 12, 13]] = False
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _TURN = np.uint64(0x9FB21C651E98DF25)
+_SUBSETS = list(combinations(range(CELLS), CELLS - DIFFER))
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
@@ -83,315 +95,356 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def signatures(shingles: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """For each band that a set takes part in, its signatures and how many of the first must be kept."""
-    m = len(shingles)
-    own = 0
-    while BAND ** (own + 1) <= m:
-        own += 1
-    most = 4 * m // 3
-    out = []
-    for band in (own, own + 1):
-        size = BAND ** (band + 1)  # the band's sets are smaller
-        if band > own and most < BAND**band:
-            break
-        k = (m + min(most, size - 1)) // 7
-        tag = mix(np.array([band + 1], np.uint64))[0]
-        if size <= SMALL:
-            out.append((mix(shingles ^ tag), k + 1))
-            continue
-        n = size // 2
-        spread = mix(shingles ^ tag)
-        place = ((spread >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-        order = np.argsort(place, kind="stable")
-        place = place[order]
-        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        content = np.add.reduceat(mix(spread[order]), first)
-        out.append((mix(content ^ mix(place[first] + tag)), k + 1))
-    return out
-
+def bands(percent: int, most: int) -> np.ndarray:
+    """Least sizes of the bands, up to one above most: partners lie in one band or in neighbouring ones."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(max(out[-1] + 1, out[-1] * 100 // percent))
+    return np.array([*out, max(out[-1] + 1, out[-1] * 100 // percent), 1 << 62])
 
-def _parities(shingles: np.ndarray) -> bytes:
-    """For each of 2^PARITY_BITS parts of the domain whether a set has an odd number of shingles there."""
-    return np.packbits(np.bincount((shingles >> np.uint64(64 - PARITY_BITS)).astype(np.int64), minlength=1 << PARITY_BITS) & 1).tobytes()
 
+def largest_partner(m: np.ndarray, held: np.ndarray, percent: int) -> np.ndarray:
+    """The size of the largest set that one of m shingles, held of them in other sets too, can be similar to."""
+    return np.minimum(100 * m // percent, (100 + percent) * held // percent - m)
 
-def _plausible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs that sizes and parities don't rule out: each part where the parities differ has a shingle that only one
-    of the sets has, so their number is at most that of all such shingles. No similar pair is lost."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (4, 5))
-                least = np.maximum(np.bitwise_count(x ^ y).sum(1, dtype=np.int64), np.abs(na - nb))
-                yield batch.select([0, 1]).filter(pa.array(least * (100 + percent) <= (na + nb) * (100 - percent)))
-
-    side = lambda c: sizes.where("n > 0").select(F.col("doc_id").alias(c), F.col("n").alias("n" + c), F.col("bits").alias("x" + c))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
-    return both.mapInArrow(run, "a long, b long").distinct()
-
-
-def _sets_and_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and rows with slices of the sketch (piece at least 0)."""
-    names = ["piece", "doc_id", "mark", "n", "a", "b", "counts", "bits"]
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            sets = shingle_sets(batch.column(1).slice(at, 128).to_pylist())
-            found = [s for x in sets if len(x) for s, _ in signatures(x)]
-            if found:
-                sketch += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-            a = np.array([np.bitwise_xor.reduce(mix(x)) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
-            b = np.array([np.add.reduce(mix(x + np.uint64(9))) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
-            k = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, -1, np.int32)), batch.column(0).slice(at, 128), batch.column(2).slice(at, 128), pa.array([len(x) for x in sets], pa.int64()), pa.array(a), pa.array(b), pa.nulls(k, pa.binary()), pa.array([_parities(x) for x in sets], pa.binary())], names=names)
-    counts = [x.astype("<i8").tobytes() for x in np.split(sketch, SLICES)]
-    zero = pa.array(np.zeros(SLICES, np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), zero, zero, zero, zero, zero, pa.array(counts, pa.binary()), pa.nulls(SLICES, pa.binary())], names=names)
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up slices of the sketch, one running sum for each piece."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for piece, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x = np.frombuffer(raw, "<i8")
-            total[piece] = total[piece] + x if piece in total else x
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], names=["piece", "counts"])
-
-
-def _emit(sketch, buckets: int):
-    """Packed signatures of a part of the documents: bucket, least (id), wide, sigs (32 bits each), docs."""
-    names = ["bucket", "least", "wide", "sigs", "docs"]
-
-    def packed(sigs: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
-        bucket = ((sigs >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        order = np.argsort(bucket, kind="stable")
-        bucket, low, docs = bucket[order].astype(np.int64), sigs[order].astype(np.uint32), docs[order]
-        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        rows = []
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(bucket)]):
-            d = docs[a:b]
-            least = int(d.min())
-            wide = int(d.max()) - least >= 1 << 32
-            rows.append((int(bucket[a]), least, wide, low[a:b].tobytes(), (d if wide else (d - least).astype(np.uint32)).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()))], names=names)
+def signatures(shingles: np.ndarray, counts: np.ndarray, m: int, percent: int = 75) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of a set of m shingles, given those that other sets hold too and how many sets hold them: the signatures,
+    the largest size of a partner each is for, and for subsets of one the shingle's count, else 0."""
+    own_only = m - len(shingles)
+    most = int(largest_partner(np.int64(m), np.int64(len(shingles)), percent))
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    if 100 * most < percent * m:
+        return none
+    edges = bands(percent, 100 * m // percent)
+    own = int(np.searchsorted(edges, m, side="right")) - 1
+    rare = shingles[counts <= RARE]
+    found, enough = [], True
+    for band in (own, own + 1):
+        if band > own and most < edges[band]:
+            break
+        k = (100 - percent) * (m + min(most, int(edges[band + 1]) - 1)) // (100 + percent) - own_only
+        if k < 0:
+            continue
+        tag = mix(np.array([band + 1], np.uint64))[0]
+        n = max(1, int(np.ceil((int(edges[band + 1]) - 1) / LOAD)))
+        spread = mix(rare ^ tag)
+        cell = ((spread >> np.uint64(32)) * np.uint64(n * CELLS) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        cell = cell[order]
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        content = np.zeros(n * CELLS, np.uint64)
+        filled = np.zeros(n * CELLS, bool)
+        if len(first):
+            content[cell[first]] = np.add.reduceat(mix(spread[order]), first)
+            filled[cell[first]] = True
+        content, filled = content.reshape(n, CELLS), filled.reshape(n, CELLS)
+        lost = np.cumsum(np.minimum(DIFFER + 1, filled.sum(1)))
+        used = min(n, int(np.searchsorted(lost, k, side="right")) + 1)
+        enough = enough and bool(lost[-1] > k)
+        place = np.arange(used, dtype=np.uint64) * np.uint64(64) + tag
+        for i, subset in enumerate(_SUBSETS):
+            some = filled[:used, list(subset)].any(1)
+            x = place[some] + np.uint64(i)
+            for c in subset:
+                x = mix(x * _TURN + content[:used, c][some])
+            found.append((x, np.full(len(x), NO_LIMIT, np.int32), np.zeros(len(x), np.int64)))
+    if not enough:
+        order = np.lexsort((mix(shingles), counts))
+        limit = (100 * m - (100 + percent) * (own_only + np.arange(len(order)))) // percent
+        order = order[100 * limit >= percent * m]
+        found.append((mix(shingles[order] ^ _TURN), limit[: len(order)].astype(np.int32), counts[order]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else none  # type: ignore[return-value]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Byte by byte, highest bytes together: sorted hashes are alike there and compress."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _of_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+#: Rows of documents (of each: id, size, key and check of its set) beside packed rows: hashes, local
+#: (places in keys), counts, and for each of keys its size.
+PACKED = "bucket int, doc_id long, n long, key long, check long, hashes binary, local binary, counts binary, keys binary, sizes binary"
+_PACKED = pa.schema([("bucket", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "n", "key", "check")), *((c, pa.binary()) for c in ("hashes", "local", "counts", "keys", "sizes"))])
+
+
+def _array(x, kind: pa.DataType) -> pa.Array:
+    return x.cast(kind) if isinstance(x, pa.Array) else pa.array(x, kind)
+
+
+def _rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
+    """A batch with some columns; the others are null."""
+    k = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) if f.name in columns else pa.nulls(k, f.type) for f in schema], schema=schema)
+
+
+def _dealt(schema: pa.Schema, bucket: np.ndarray, hashes: np.ndarray, node: np.ndarray, keys: np.ndarray, sizes: np.ndarray, counts: np.ndarray | None = None) -> pa.RecordBatch:
+    """Packs entries, sorted by bucket, with the keys and sizes that each bucket's refer to."""
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    out: dict[str, list] = {c: [] for c in ("bucket", "hashes", "local", "counts", "keys", "sizes")}
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(bucket)]):
+        used, local = np.unique(node[a:b], return_inverse=True)
+        for c, x in (("bucket", int(bucket[a])), ("hashes", _planes(hashes[a:b])), ("local", local.astype(np.uint32 if len(used) > 1 << 16 else np.uint16).tobytes()), ("counts", None if counts is None else counts[a:b].astype(np.uint32).tobytes()), ("keys", keys[used].tobytes()), ("sizes", sizes[used].astype(np.int32).tobytes())):
+            out[c].append(x)
+    return _rows(schema, **out)
+
+
+def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hashes, keys, sizes and counts (zeros, if there are none) of all entries of packed rows."""
+    hashes, key, size, counts = [], [], [], []
+    for h, l, c, k, s in zip(*(table[x].to_pylist() for x in ("hashes", "local", "counts", "keys", "sizes"))):
+        x, keys = _of_planes(h), np.frombuffer(k, np.int64)
+        local = np.frombuffer(l, np.uint32 if len(keys) > 1 << 16 else np.uint16)
+        hashes.append(x)
+        key.append(keys[local])
+        size.append(np.frombuffer(s, np.int32)[local])
+        counts.append(np.zeros(len(x), np.uint32) if c is None else np.frombuffer(c, np.uint32))
+    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+    return join(hashes, np.uint64), join(key, np.int64), join(size, np.int32), join(counts, np.uint32)
+
+
+def _split(buckets: int, seed: int):
+    """The shingles of a part of the documents by bucket; of sets that are equal one, as far as they are remembered."""
+
+    def packed(sets: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
+        sizes = np.array([len(x) for x in sets])
+        node = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+        hashes = np.concatenate(sets)
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        return _dealt(_PACKED, _bucket(hashes, buckets), hashes, node[order], np.array(keys, np.int64), sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
-        sigs, docs, size, seen = [], [], 0, set()
+        sets, keys, size, seen = [], [], 0, set()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             for at in range(0, batch.num_rows, 128):
-                for doc, x in zip(ids[at : at + 128], shingle_sets(batch.column(1).slice(at, 128).to_pylist())):
-                    if not len(x) or doc == NO_ID:
-                        continue
-                    key = xxhash.xxh3_128_digest(x.tobytes())
-                    if key in seen:  # one of equal sets is enough, whichever
+                part = batch.slice(at, 128)
+                found = shingle_sets(part.column(1).to_pylist())
+                key, check = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes(), seed=seed) for x in found), "<i8").reshape(-1, 2).T
+                doc = part.column(0).to_numpy()
+                to = _bucket(mix(doc.view(np.uint64)), buckets)
+                yield _rows(_PACKED, bucket=to, doc_id=doc, n=[len(x) for x in found], key=key, check=check)
+                for d, x, k in zip(doc.tolist(), found, key.tolist()):
+                    if not len(x) or d == NO_ID or k in seen:
                         continue
                     if len(seen) < 200_000:
-                        seen.add(key)
-                    for s, keep in signatures(x):
-                        if len(s) > keep:
-                            s = s[np.lexsort((s, counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:keep]]
-                        sigs.append(s)
-                        docs.append(np.full(len(s), doc, np.int64))
-                        size += len(s)
-                if size > NEXT:
-                    yield packed(np.concatenate(sigs), np.concatenate(docs))
-                    sigs, docs, size = [], [], 0
-        if sigs:
-            yield packed(np.concatenate(sigs), np.concatenate(docs))
+                        seen.add(k)
+                    sets.append(x)
+                    keys.append(k)
+                    size += len(x)
+                if size > NEXT or len(sets) > TEXTS:
+                    yield packed(sets, keys)
+                    sets, keys, size = [], [], 0
+        if sets:
+            yield packed(sets, keys)
+
+    return run
+
+
+def _counted(buckets: int):
+    """Of one bucket of shingles those that several sets hold, with the number of sets, dealt by set."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs = table.filter(pc.is_null(table["hashes"]))
+        hashes, key, size, _ = _gathered(table.filter(pc.is_valid(table["hashes"])))
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        same = np.concatenate([[False], hashes[1:] == hashes[:-1], [False]])[: len(hashes) + 1]
+        several = same[:-1] | same[1:] if len(hashes) else np.zeros(0, bool)
+        hashes, key, size = hashes[several], key[order[several]], size[order[several]]
+        order = np.lexsort((key, hashes))
+        hashes, key, size = hashes[order], key[order], size[order]
+        if len(hashes):
+            new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (key[1:] != key[:-1])])  # equal sets of other tasks
+            hashes, key, size = hashes[new], key[new], size[new]
+            first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+            times = np.diff(first, append=len(hashes))
+            counts = np.repeat(times, times)
+            keep = counts > 1
+            hashes, key, size, counts = hashes[keep], key[keep], size[keep], counts[keep]
+        if not len(hashes):
+            return docs
+        keys, at, node = np.unique(key, return_index=True, return_inverse=True)
+        to = _bucket(mix(key.view(np.uint64)), buckets)
+        order = np.lexsort((hashes, to))
+        out = _dealt(_PACKED, to[order], hashes[order], node[order], keys, size[at], counts[order])
+        return pa.concat_tables([docs, pa.Table.from_batches([out])])
+
+    return run
+
+
+#: Rows of documents; of sets (key, n, hashes); of hot signatures (g, key, n, held, limit); packed signatures.
+KEYED = "kind int, bucket int, doc_id long, n long, key long, check long, g long, held int, limit int, hashes binary, local binary, counts binary, keys binary, sizes binary, helds binary"
+_KEYED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "n", "key", "check", "g")), ("held", pa.int32()), ("limit", pa.int32()), *((c, pa.binary()) for c in ("hashes", "local", "counts", "keys", "sizes", "helds"))])
+DOC, SET, SIGNED, HOT_SIGNED = range(4)
+
+
+def _signed(buckets: int, percent: int):
+    """What other sets hold too of each set that can have a partner, and its signatures."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs = table.filter(pc.is_null(table["hashes"]))
+        hashes, key, size, counts = _gathered(table.filter(pc.is_valid(table["hashes"])))
+        out = [_rows(_KEYED, kind=np.full(len(docs), DOC), **{c: docs[c].combine_chunks() for c in ("doc_id", "n", "key", "check")})] if len(docs) else []
+        order = np.lexsort((hashes, key))
+        hashes, key, size, counts = hashes[order], key[order], size[order].astype(np.int64), counts[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        held = np.diff(first, append=len(key))
+        can = 100 * largest_partner(size[first], held, percent) >= percent * size[first]
+        first, held = first[can], held[can]
+        keys, sizes = key[first], size[first]
+        found = [signatures(hashes[a : a + h], counts[a : a + h], int(m), percent) for a, h, m in zip(first.tolist(), held.tolist(), sizes.tolist())]
+        if found:
+            out.append(_rows(_KEYED, kind=np.full(len(first), SET), key=keys, n=sizes, held=held, hashes=[hashes[a : a + h].tobytes() for a, h in zip(first.tolist(), held.tolist())]))
+            sigs, limit, times = (np.concatenate(x) for x in zip(*found))
+            node = np.repeat(np.arange(len(found)), [len(x) for x, _, _ in found])
+            hot = times > HOT
+            if hot.any():
+                at = node[hot]
+                out.append(_rows(_KEYED, kind=np.full(len(at), HOT_SIGNED), g=sigs[hot].view(np.int64), key=keys[at], n=sizes[at], held=held[at], limit=limit[hot]))
+            sigs, limit, node = sigs[~hot], limit[~hot], node[~hot]
+            order = np.argsort(sigs, kind="stable")
+            sigs, limit, node = sigs[order], limit[order], node[order]
+            if len(sigs):
+                batch = _dealt(_KEYED, _bucket(sigs, buckets), sigs, node, keys, sizes, limit.view(np.uint32))
+                of = [held[np.searchsorted(keys, np.frombuffer(raw, np.int64))].astype(np.int32).tobytes() for raw in batch.column("keys").to_pylist()]
+                batch = batch.set_column(batch.schema.get_field_index("helds"), _KEYED.field("helds"), pa.array(of, pa.binary()))
+                out.append(batch.set_column(0, _KEYED.field("kind"), pa.array(np.full(batch.num_rows, SIGNED), pa.int32())))
+        return pa.Table.from_batches(out, _KEYED)
 
     return run
 
 
+GROUPS = "g long, key long, n long, held int, limit int"
+
+
 def _groups(table: pa.Table) -> pa.Table:
-    """Of one bucket the distinct groups of documents that share a signature: least (id), members."""
-    sigs, docs = [], []
-    for least, wide, s, d in zip(*(table[c].to_pylist() for c in ("least", "wide", "sigs", "docs"))):
-        sigs.append(np.frombuffer(s, np.uint32))
-        docs.append(np.frombuffer(d, np.int64) if wide else np.frombuffer(d, np.uint32).astype(np.int64) + least)
-    sig, doc = np.concatenate(sigs), np.concatenate(docs)
-    order = np.argsort(sig, kind="stable")
-    sig, doc = sig[order], doc[order]
-    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    size = np.diff(first, append=len(sig))
-    found: dict[bytes, int] = {}
-    for a, n in zip(first[size > 1].tolist(), size[size > 1].tolist()):
-        x = np.unique(doc[a : a + n])
-        if len(x) > 1:
-            found[x.tobytes()] = int(x[0])
-    return pa.table([pa.array(found.values(), pa.int64()), pa.array(found.keys(), pa.binary())], names=["least", "members"])
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of each group's least member with the others, distinct in a batch."""
-    for batch in batches:
-        a, b = [], []
-        for least, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x = np.frombuffer(raw, np.int64)[1:]
-            a.append(np.full(len(x), least, np.int64))
-            b.append(x)
-        if a:
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-
-def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of a group's members that lie in different components."""
-    for batch in batches:
-        for members, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x, c = np.array(members), np.array(parts)
-            order = np.argsort(x)
-            x, c = x[order], c[order]
-            for i in range(len(x) - 1):
-                other = x[i + 1 :][c[i + 1 :] != c[i]]
-                if len(other):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), x[i])), pa.array(other)], names=["a", "b"])
-
-
-def _narrow(shingles: np.ndarray) -> bytes:
-    """The upper 40 bits of each hash: enough to tell apart the shingles of two documents."""
-    return np.ascontiguousarray((shingles >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _widened(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+    """Of one bucket of signatures the distinct groups of sets that share one, without members that can have no partner there."""
+    helds = np.concatenate([np.frombuffer(h, np.int32)[np.frombuffer(x, np.uint32 if len(h) // 4 > 1 << 16 else np.uint16)] for h, x in zip(table["helds"].to_pylist(), table["local"].to_pylist())])
+    sigs, key, size, limit = _gathered(table)
+    limit = limit.view(np.int32)
+    while True:
+        order = np.argsort(sigs, kind="stable")
+        sigs, key, size, limit, helds = sigs[order], key[order], size[order], limit[order], helds[order]
+        first = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]])) if len(sigs) else np.zeros(0, np.int64)
+        times = np.diff(first, append=len(sigs))
+        least = np.repeat(np.minimum.reduceat(size, first), times) if len(first) else size
+        keep = (limit >= least) & (np.repeat(times, times) > 1)
+        if keep.all():
+            break
+        sigs, key, size, limit, helds = sigs[keep], key[keep], size[keep], limit[keep], helds[keep]
+    # one group for all signatures with the same members; if hashes of members collide, groups merge, and more is compared
+    name = np.repeat(np.add.reduceat(mix(key.view(np.uint64)), first), times) if len(first) else sigs
+    order = np.lexsort((-limit.astype(np.int64), key, name))
+    name, key, size, limit, helds = name[order], key[order], size[order], limit[order], helds[order]
+    new = np.concatenate([[True], (name[1:] != name[:-1]) | (key[1:] != key[:-1])])[: len(name)]
+    return pa.table([pa.array(name[new].view(np.int64)), pa.array(key[new]), pa.array(size[new].astype(np.int64)), pa.array(helds[new]), pa.array(limit[new])], names=["g", "key", "n", "held", "limit"])
 
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, last, s = [], None, np.zeros(0, np.uint64)
-            for x, y in zip(batch.column(2), batch.column(3)):
+            for na, nb, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
                 if (raw := x.as_buffer().to_pybytes()) != last:
-                    last, s = raw, _widened(raw)
-                t = _widened(y.as_buffer().to_pybytes())
-                both = len(np.intersect1d(s, t))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+                    last, s = raw, np.frombuffer(raw, np.uint64)
+                both = len(np.intersect1d(s, np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True))
+                keep.append(100 * both >= percent * (na + nb - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. Few pairs are broadcast by their size; sets of hot ids are split by adaptive joins."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long").distinct()
-
-
-SET = "doc_id long, center long, s binary"
-
-
-def _sets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The sets of all documents in pairs."""
-    ids = staged(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select("b").toDF("doc_id")).distinct(), "needed")
-    return staged(rows.join(ids, "doc_id").select("doc_id", F.lit(None).cast("long").alias("center"), "text").mapInArrow(_set_rows, SET), "shingles")
-
-
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            part = batch.slice(at, 128)
-            sets = shingle_sets(part.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_narrow(x) for x in sets], pa.binary())], names=["doc_id", "center", "s"])
-
-
-def _merged(pairs: DataFrame, copies: DataFrame) -> DataFrame:
-    """Pairs of classes instead of documents."""
-    at = lambda c: copies.select(F.col("doc_id").alias(c), F.col("least").alias("l" + c))
-    named = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    return named.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def linked(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n of each row; doc_id, component of documents with links). percent: 75 is what the signatures' bounds hold for."""
-    if percent < 75:
-        raise ValueError("the signatures' bounds hold from 75 % on")
-    spark = docs.sparkSession
-    rows = with_ids(docs).withColumn("mark", F.xxhash64("text"))
-    first = staged(rows.mapInArrow(_sets_and_sketch, "piece int, doc_id long, mark long, n long, a long, b long, counts binary, bits binary"), "sets")
-    sizes = first.where(F.col("piece") < 0)
-    slices = first.where(F.col("piece") >= 0).select("piece", "counts")
-    # partial sums where the slices lie, then one row for each slice: 8 MB in all
-    parts = slices.mapInArrow(_summed, "piece int, counts binary").repartition(SLICES, "piece").mapInArrow(_summed, "piece int, counts binary").collect()
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in parts:
-        k = len(sketch) // SLICES
-        sketch[r["piece"] * k : (r["piece"] + 1) * k] += np.frombuffer(r["counts"], "<i8")
-    held = spark.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
-    total = sizes.agg(F.sum("n")).head()[0] or 0
-    buckets = max(8, -(-total * 2 // (5 * BUCKET)))
-    # equal sets: one class, whose least id stands for it
-    whole = sizes.where((F.col("n") > 0) & (F.col("doc_id") != NO_ID)).select("doc_id", F.struct("a", "b", "n").alias("set")).distinct()
-    classes = whole.groupBy("set").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1")
-    copies = staged(whole.join(classes, "set").where("doc_id <> least").select("doc_id", "least"), "copies")
-    # an id with several sets can't be replaced
-    plain = staged(copies.join(whole.groupBy("doc_id").count().where("count > 1"), "doc_id", "left_anti"), "plain-copies")
-    packed = rows.select("doc_id", "text").mapInArrow(_emit(held, buckets), "bucket int, least long, wide boolean, sigs binary, docs binary")
-    groups = staged(packed.groupBy("bucket").applyInArrow(_groups, "least long, members binary"), "groups")
-    met = staged(_merged(groups.mapInArrow(_stars, "a long, b long").distinct(), plain), "met")
-    stars = staged(_plausible(met, sizes, percent), "stars")
-    # each document is compared with the least of its partners first, so its set travels beside that one's id
-    ends = stars.select(F.col("b").alias("doc_id"), F.col("a").alias("center")).unionByName(stars.select(F.col("a").alias("doc_id"), F.lit(None).cast("long").alias("center")))
-    needed = staged(ends.groupBy("doc_id").agg(F.min("center").alias("center")), "needed")
-    sets = staged(rows.join(needed, "doc_id").select("doc_id", "center", "text").mapInArrow(_set_rows, SET), "shingles")
-    centers = sets.select(F.col("doc_id").alias("center"), F.col("s").alias("sa"))
-    near = sets.where(F.col("center").isNotNull()).join(centers, "center").select("center", "doc_id", "sa", F.col("s").alias("sb"))
-    links = staged(near.mapInArrow(_verify(percent), "center long, doc_id long").toDF("a", "b").distinct(), "links")
-    for step in ("stars", "rest"):
-        labels = components(links)
-        at = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias("c" + c))
-        apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
-        open_ = (stars if step == "stars" else met).join(at("a"), "a", "left").join(at("b"), "b", "left").where(apart).select("a", "b")
-        if step == "stars":  # those that were compared already
-            open_ = open_.join(needed.select(F.col("doc_id").alias("b"), F.col("center").alias("a")), ["a", "b"], "left_anti")
-        else:
-            open_ = _plausible(_others(groups, open_, labels, plain), sizes, percent)
-        open_ = staged(open_, "pairs")
-        if not open_.isEmpty():
-            links = staged(links.unionByName(_verified(open_, sets if step == "stars" else _sets(rows, open_), percent)).distinct(), "links")
-    return sizes.select("doc_id", "mark", "n"), components(links.unionByName(copies.select(F.col("least").alias("a"), F.col("doc_id").alias("b"))))
-
-
-def _others(groups: DataFrame, open_: DataFrame, labels: DataFrame, copies: DataFrame) -> DataFrame:
-    """Pairs across components, for groups that the comparisons with their least member left in several."""
-
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                x = np.frombuffer(raw, np.int64)
-                key = int(mix(np.array([np.add.reduce(mix(x.view(np.uint64)))]))[0] >> np.uint64(1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), key, np.int64)), pa.array(x)], names=["g", "id"])
-
-    # a group's least member may stand for another one of its class, which is b of a pair if the other member's class is less
-    # than that member, so if a has copies
-    hidden = open_.join(copies.select(F.col("least").alias("a")), "a", "left_semi").select(F.col("b").alias("least"))
-    ids = open_.select(F.col("a").alias("least")).unionByName(hidden).distinct()
-    ids = ids.unionByName(copies.join(ids, "least", "left_semi").select(F.col("doc_id").alias("least")))
-    members = groups.join(ids, "least", "left_semi").select("members").distinct().mapInArrow(exploded, "g long, id long")
-    members = members.join(copies.select(F.col("doc_id").alias("id"), "least"), "id", "left").select("g", F.coalesce("least", "id").alias("id")).distinct()
-    known = members.join(labels, "id", "left").select("g", "id", F.coalesce("component", "id").alias("component"))
-    several = known.groupBy("g").agg(F.collect_list("id").alias("ids"), F.collect_list("component").alias("parts"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    return several.select("ids", "parts").mapInArrow(_rest, "a long, b long").distinct()
+    """The pairs (a, b) whose sets are similar enough; joins split hot sets."""
+    side = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias("n" + c), F.col("hashes").alias("s" + c))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_verify(percent), "a long, b long")
+
+
+def _possible(x: str, y: str, percent: int) -> Column:
+    """What sizes, common shingles and the limits of signatures allow."""
+    c = lambda s, n: F.col(f"{s}.{n}")
+    enough = F.least(c(x, "held"), c(y, "held")) * (100 + percent) >= (c(x, "n") + c(y, "n")) * percent
+    return (c(x, "key") != c(y, "key")) & (c(x, "n") <= c(y, "limit")) & (c(y, "n") <= c(x, "limit")) & enough
+
+
+def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    return rows.select(F.least(f"{x}.key", f"{y}.key").alias("a"), F.greatest(f"{x}.key", f"{y}.key").alias("b")).distinct()
+
+
+def _keyed(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of KEYED. A key that two different sets have (of 64 bits; told by 64 more) means another seed."""
+    size = rows.agg(F.sum(F.octet_length("text") + 1)).head()[0] or 0  # a word has two bytes at least, with what follows
+    buckets = max(8, -(-size // 6 // min(LARGEST, max(BUCKET, size // 6 // BUCKETS))))
+    for seed in count():
+        packed = rows.mapInArrow(_split(buckets, seed), PACKED).groupBy("bucket").applyInArrow(_counted(buckets), PACKED)
+        out = staged(packed.groupBy("bucket").applyInArrow(_signed(max(1, buckets // 4), percent), KEYED), "keyed")
+        clash = out.where((F.col("kind") == DOC) & (F.col("n") > 0)).groupBy("key").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi")
+        if clash.isEmpty():
+            return out
+    raise AssertionError
+
+
+def linked(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id (NO_ID for null), n, component (the least doc_id that links reach; null without links to others) of each row."""
+    if not 50 <= percent <= 100:
+        raise ValueError("percent lies between 50 and 100")
+    keyed = _keyed(with_ids(docs), percent)
+    sets = keyed.where(F.col("kind") == SET).select("key", "n", "hashes")
+    groups = keyed.where(F.col("kind") == SIGNED).select("bucket", "hashes", "local", "counts", "keys", "sizes", "helds").groupBy("bucket").applyInArrow(_groups, GROUPS)
+    groups = groups.unionByName(keyed.where(F.col("kind") == HOT_SIGNED).select("g", "key", "n", "held", "limit"))
+    members = staged(groups.groupBy("g", "key").agg(F.max("n").alias("n"), F.max("held").alias("held"), F.max("limit").alias("limit")), "members")
+    # each set with one that is the least edited of a group it is in: the fewest shingles of its own
+    this = F.struct((F.col("held") - F.col("n")).alias("slack"), "key", "n", "held", "limit")
+    centers = members.groupBy("g").agg(F.max(this).alias("y"))
+    stars = members.select("g", this.alias("x")).join(centers, "g").where(_possible("x", "y", percent))
+    stars = stars.groupBy(F.col("x.key").alias("key")).agg(F.max_by("x", "y").alias("x"), F.max("y").alias("y"))
+    met = staged(_pairs(stars, "x", "y"), "met")
+    links = staged(_verified(met, sets, percent), "links")
+    # groups that still lie in several components: those outside the largest with all others that are possible
+    labels = components(links)
+    named = members.join(labels.withColumnRenamed("id", "key"), "key", "left").select("g", this.alias("x"), F.coalesce("component", "key").alias("part"))
+    parts = named.groupBy("g", "part").agg(F.count("*").alias("many")).groupBy("g").agg(F.max(F.struct("many", "part"))["part"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    open_ = staged(named.join(parts, "g"), "open")
+    apart = open_.where("part <> main").select("g", "x", "part").join(open_.select("g", F.col("x").alias("y"), F.col("part").alias("other"), "main"), "g")
+    apart = apart.where((F.col("part") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("x.key") < F.col("y.key"))) & _possible("x", "y", percent))
+    rest = staged(_pairs(apart, "x", "y").join(met, ["a", "b"], "left_anti"), "rest")
+    links = links.unionByName(_verified(rest, sets, percent))
+    # rows of one id whose sets differ are linked through it
+    rows = keyed.where(F.col("kind") == DOC).select("doc_id", "n", "key")
+    whole = rows.where((F.col("n") > 0) & (F.col("doc_id") != NO_ID)).select("doc_id", "key")
+    several = whole.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("doc_id", "a")
+    links = links.unionByName(whole.join(several, "doc_id").where("a <> key").select("a", F.col("key").alias("b")))
+    labels = components(staged(links, "links"))
+    in_ = F.when((F.col("n") > 0) & (F.col("doc_id") != NO_ID), F.coalesce("part", "key"))
+    rows = rows.join(labels.select(F.col("id").alias("key"), F.col("component").alias("part")), "key", "left").select("doc_id", "n", in_.alias("part"))
+    least = rows.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("component"))
+    return rows.join(least, "part", "left").select("doc_id", "n", "component")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of each row."""
-    sizes, found = linked(docs, percent)
-    out = sizes.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    return out.select(id_back(), F.col("n").alias("n_shingles"), F.when(F.col("doc_id") != NO_ID, F.coalesce("component", "doc_id")).alias("component_id"))
+    return linked(docs, percent).select(id_back(), F.col("n").alias("n_shingles"), F.when(F.col("doc_id") != NO_ID, F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The documents that are the smallest of their components; rows with null ids stay. Equal rows stay once."""
-    _, found = linked(docs, percent)
-    gone = found.where(F.col("id") != F.col("component")).select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component, one with its smallest id; rows with null ids stay. Of several rows with one id, whether
+    their texts are equal or not, one stays: the one with the least hash, then text."""
+    found = staged(linked(docs, percent).where(F.col("doc_id") != NO_ID), "components")
+    gone = found.where(F.col("component") != F.col("doc_id")).select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = staged(again.join(gone, "doc_id", "left_anti"), "again")
+    if again.isEmpty():
+        return kept
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    several = kept.join(again, "doc_id", "left_semi").select(*docs.columns).withColumn("_one", one).where("_one = 1").drop("_one")
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(several)
