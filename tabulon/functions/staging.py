@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a temporary folder."""
+    """spark.checkpoint.dir; where it is unset, in local mode only, a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tabulon.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tabulon-")
         spark.conf.set("tabulon.shared.dir", found)
     return found.rstrip("/")
@@ -26,6 +28,17 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def written_text(spark: SparkSession, name: str, text: str) -> str:
+    """A text as a file of its own folder in the shared one, through the file system that holds it; gives its path."""
+    folder = f"{shared_folder(spark)}/tabulon/file-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(text.encode()))
+    out.close()
+    atexit.register(_drop, spark, folder)
+    return f"{folder}/{name}"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tabulon/{label}-{uuid.uuid4().hex}"

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: what counts as a number.
 NUMERIC = r"^[\t-\r ]*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?[\t-\r ]*$"
-NUMERIC_WORD = r"(?i)^[\t-\r ]*(nan|[+-]?infinity)[\t-\r ]*$"
+NUMERIC_WORD = r"^[\t-\r ]*((?i:nan)|[+-]?(?i:infinity))[\t-\r ]*$"
 
 
 def number_of(v: Column) -> Column:
     """The value as a double, or null: plain and scientific notation, NaN and Infinity, white space around; no separators."""
-    plain = F.when(v.rlike(NUMERIC), v.try_cast("double"))
-    return F.coalesce(plain, F.when(v.rlike(NUMERIC_WORD), F.trim(v).try_cast("double")))
+    return F.when(v.rlike(f"{NUMERIC}|{NUMERIC_WORD}"), v.try_cast("double"))
 
 
 def sort_key(v: Column) -> Column:
@@ -25,6 +24,16 @@ def sort_key(v: Column) -> Column:
     return F.struct(kind.alias("kind"), F.coalesce(F.when(kind == 1, ordered), none).alias("num"), F.when(kind == 2, v).otherwise("").alias("text"))
 
 
+def key_columns(df: DataFrame, v: Column, prefix: str) -> tuple[DataFrame, list[str]]:
+    """df with the parts of a value's sort key as plain columns, which sorts compare without evaluating anything: the kind
+    (blank, NaN, number, text), the number, and the text of what isn't one. The number is made first, so it is parsed once."""
+    kind, num, text = (f"{prefix}_{x}" for x in ("kind", "num", "text"))
+    df = df.withColumn(num, number_of(v))
+    other = F.col(num).isNull()
+    df = df.withColumns({kind: F.when(v == "", 0).when(other, 3).when(F.isnan(num), 1).otherwise(2), text: F.when(other, v).otherwise("")})
+    return df, [kind, num, text]
+
+
 def folded(v: Column) -> Column:
     """Compares without case."""
     return F.collate(v, "UTF8_LCASE")

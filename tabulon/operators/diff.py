@@ -31,18 +31,11 @@ class Comparison:
         rows = self.entries.where(F.col("kind") == kind).select(F.col(row).alias(ORDER)).distinct()
         return side.having(side.df.join(rows, ORDER, "left_semi"))
 
-    def message(self, key: str) -> tuple[str, str]:
-        """What to say about the result, and what to warn of."""
-        s = self.summary().head()
-        said = f"Identical on every compared column — {s['unchanged']:,} row(s) matched." if not (s["added"] or s["removed"] or s["changed"]) else f"{s['added']:,} added, {s['removed']:,} removed, {s['changed']:,} changed, {s['unchanged']:,} unchanged."
-        where = lambda l, r: "both sides" if l and r else "this section" if l else "the other section"
-        warned = []
-        if self.missing_left or self.missing_right:
-            warned.append(f"'{key}' is missing from {where(self.missing_left, self.missing_right)} — nothing was compared.")
+    def warnings(self) -> dict[str, tuple[bool, bool]]:
+        """What limits the result, for the left and the right side: missing_key (nothing was compared), repeated_key (the
+        last right row of a key was compared)."""
         d = self.duplicates.head()
-        if d["left"] or d["right"]:
-            warned.append(f"'{key}' has duplicate values on {where(d['left'], d['right'])} — matching used the last row for each repeated value, so this comparison may not be reliable.")
-        return said, " ".join(warned)
+        return {"missing_key": (self.missing_left, self.missing_right), "repeated_key": (d["left"], d["right"])}
 
 
 def compared(left: TextTable, right: TextTable, key: str = "_ID") -> Comparison:
@@ -66,8 +59,9 @@ def compared(left: TextTable, right: TextTable, key: str = "_ID") -> Comparison:
     diffs = F.when(matched, F.filter(each, lambda x: x["left"] != x["right"])).otherwise(F.array().cast(DIFFS))
     kind = F.when(F.col("left_row").isNull(), "added").when(F.col("right_row").isNull(), "removed").when(F.size("diffs") > 0, "changed").otherwise("unchanged")
     entries = both.withColumn("diffs", diffs).select(kind.alias("kind"), "key", "left_row", "right_row", "diffs")
-    several = lambda d, name: d.groupBy("key").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n") > 1, F.lit(False)).alias(name))
-    return Comparison(entries, columns, False, False, several(l, "left").join(F.broadcast(several(last, "right"))))
+    several = lambda d, name: d.agg(F.coalesce(F.max("n") > 1, F.lit(False)).alias(name))
+    repeated = several(l.groupBy("key").agg(F.count("*").alias("n")), "left").join(F.broadcast(several(r.select("n"), "right")))
+    return Comparison(entries, columns, False, False, repeated)
 
 
 def changed_cells(found: Comparison) -> DataFrame:

@@ -184,7 +184,8 @@ def export_sections(views: list, form: str, opened) -> list[int]:
         t = Filters().apply(v.resolved())
         by_id = type(v.sort)((), v.sort.by_id)
         with opened(i) as out:
-            done.append(export(t, by_id.columns(t), format_of(form, t), out))
+            t, order = by_id.prepared(t)
+            done.append(export(t, order, format_of(form, t), out))
     return done
 
 

@@ -99,13 +99,12 @@ class Statistics:
     def fully_numeric(self) -> bool:
         return self.shown > 0 and self.numeric_count == self.shown
 
-    def lines(self) -> list[tuple[str, str]]:
-        """Labels and values; what a column without numbers doesn't have is left out."""
-        blank = f"{self.blank_count:,}  ({self.blank_fraction:.0%})" if self.blank_count else "0"
-        out = [("Rows in view", f"{self.row_count:,}"), ("With a value", f"{self.shown:,}"), ("Blank", blank), ("Distinct values", f"{self.distinct_count:,}{'+' * self.distinct_truncated}")]
-        out += [(label, x) for label, x in (("Lowest", self.min_text), ("Highest", self.max_text)) if x is not None]
-        if self.numeric_count:
-            if not self.fully_numeric:
-                out.append(("Numeric values", f"{self.numeric_count:,} of {self.shown:,}"))
-            out += [("Sum", shown_number(self.numeric_sum)), ("Mean", shown_number(self.numeric_mean))]
-        return out
+    def measures(self) -> dict[str, int | float | str]:
+        """The measures that the column has, by name: numeric ones only if it has numbers, extremes only if it has values."""
+        out = {n: getattr(self, n) for n in ("row_count", "shown", "blank_count", "blank_fraction", "distinct_count", "distinct_truncated")}
+        out |= {n: x for n in ("min_text", "max_text") if (x := getattr(self, n)) is not None}
+        numeric = ("numeric_count", "fully_numeric", "numeric_min", "numeric_max", "numeric_sum", "numeric_mean") if self.numeric_count else ()
+        return out | {n: getattr(self, n) for n in numeric}
+
+    def shown_measures(self) -> dict[str, str]:
+        return {n: shown_number(x) if isinstance(x, float) else str(x) for n, x in self.measures().items()}

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import StructField
 
 from tabulon.sources.datasource import section_fields
 from tabulon.sources.layout import Layout, read_layout
@@ -92,7 +92,6 @@ class TextTable:
         return [n for n in self.names if text.lower() in n.lower()]
 
 
-def _as_text(f: T.StructField) -> Column:
-    c = F.col(f"`{f.name}`")
-    text = c.cast("decimal(18,2)").cast("string") if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c.cast("string")
-    return text
+def _as_text(f: StructField) -> Column:
+    """The value as it stands: of doubles the digits that tell them apart, NaN and Infinity by name."""
+    return F.col(f"`{f.name}`").cast("string")

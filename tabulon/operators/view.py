@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabulon.sources.layout import Layout, read_layout
 
-from .ordering import Sorted
+from .ordering import Sorted, positions, without_keys
 from .overlay import Overlay
 from .predicates import Filters, Query, highlighted, moved
 from .stats import Statistics, distinct_excluding_own
@@ -79,6 +80,7 @@ class View:
     page: int = 0
     extract: frozenset[int] | None = None
     extract_order: DataFrame | None = None
+    counted: tuple | None = None
 
     def resolved(self) -> TextTable:
         found = self.table if self.overlay.is_empty else self.overlay.resolve(self.table)
@@ -91,16 +93,21 @@ class View:
         """The rows that pass all filters; their order is that of keys."""
         return self.filters.apply(self.resolved())
 
-    def keys(self, table: TextTable) -> list:
-        own = self.sort.columns(table)
-        return own if self.extract_order is None else [*own[: -2], F.col("_extract").asc(), *own[-2:]]
+    def prepared(self) -> tuple[TextTable, list]:
+        """The rows with their sort keys, and what to order by."""
+        t, own = self.sort.prepared(self.rows())
+        return t, own if self.extract_order is None else [*own[:-2], F.col("_extract").asc(), *own[-2:]]
 
     def ordered(self) -> DataFrame:
-        t = self.rows()
-        return t.df.orderBy(*self.keys(t))
+        t, order = self.prepared()
+        return without_keys(t.df.orderBy(*order))
 
     def count(self) -> int:
-        return self.rows().df.count()
+        """The number of rows; counted once for the same filters and edits."""
+        state = (self.filters, len(self.overlay.ops), len(self.overlay.undo_log), self.overlay.next_row, sum(map(len, self.overlay.edits.values())))
+        if self.counted is None or self.counted[0] != state:
+            self.counted = (state, self.rows().df.count())
+        return self.counted[1]
 
     def pages(self, count: int | None = None) -> int:
         return max(1, math.ceil((self.count() if count is None else count) / self.page_size))
@@ -124,6 +131,11 @@ class View:
         """Keeps the first row of the page in view."""
         self.page, self.page_size = self.page * self.page_size // size, size
 
+    def edited(self, change: Callable[[Overlay], object]) -> View:
+        """After a change of the rows there are (added, deleted, restored, undone): the first page."""
+        change(self.overlay)
+        return replace(self, page=0)
+
     def filtered(self, filters: Filters) -> View:
         return replace(self, filters=filters, page=0)
 
@@ -144,16 +156,16 @@ class View:
         return replace(self, filters=replace(self.filters, query=query), highlight=marked, page=0)
 
     def matches(self) -> DataFrame:
-        t = self.rows()
-        return highlighted(t, self.highlight).orderBy(*self.keys(t))
+        t, order = self.prepared()
+        return without_keys(highlighted(t, self.highlight).orderBy(*order))
 
     def match(self, number: int) -> tuple[DataFrame, int]:
         """The n-th match, counted around, and its number."""
-        t = self.rows()
+        t, order = self.prepared()
         found = highlighted(t, self.highlight).where("is_match")
         n = found.count()
         at = number % n if n else 0
-        return found.orderBy(*self.keys(t)).offset(at).limit(1), at
+        return without_keys(found.orderBy(*order).offset(at).limit(1)), at
 
     def distinct(self, column: str):
         return distinct_excluding_own(self.resolved(), self.filters, column, F.struct((F.col(ORDER) < 0).alias("a"), F.abs(ORDER).alias("n")))
@@ -169,11 +181,9 @@ class View:
         """A view of fixed rows in their present order, with filters and sorts of its own and the same edits.
 
         rows: row_idx of what to take; without it the selected rows."""
-        from .ordering import positions
-
-        t = self.rows()
+        t, keys = self.prepared()
         chosen = t.df.join(rows.select(ORDER).distinct(), ORDER, "left_semi") if rows is not None else self.selection.of(t.df)
-        order = positions(chosen, self.keys(t.having(chosen)), "_extract").select(ORDER, "_extract")
+        order = positions(chosen, keys, "_extract", ORDER)
         return View(self.table, self.overlay, extract_order=order, page_size=self.page_size)
 
 

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.functions.staging import written_text
 from tabulon.functions.text import number_of, sort_key
 from tabulon.operators import export as X
 from tabulon.operators import predicates as P
 from tabulon.operators.diff import changed_cells, compared
-from tabulon.operators.ordering import Sorted, id_key, page, positions
+from tabulon.operators.ordering import Sorted, page, positions
 from tabulon.operators.overlay import Overlay
 from tabulon.operators.predicates import Filters, Query, Term
 from tabulon.operators.stats import column_statistics, distinct_excluding_own, distinct_values
@@ -32,8 +31,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> TextTable:
-    df = read(spark, sf_dir, name)
-    return TextTable.from_dataframe(df.select(*columns) if columns else df, KEYS[name])
+    return TextTable.from_dataframe(money(read(spark, sf_dir, name), columns), KEYS[name])
+
+
+def money(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Doubles as amounts with two decimals, as the SQL has them."""
+    return df.select(*(F.col(c).cast("decimal(18,2)").alias(c) if df.schema[c].dataType.simpleString() == "double" else c for c in columns or df.columns))
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Made], Made]:
@@ -78,11 +81,11 @@ searched("search_col_notcontains", "part", "part", "NOT contains(lower(p_name),
 searched("search_col_equals", "customer", "customer", "lower(c_mktsegment) = 'building'", [Term("building", P.EQUALS, "c_mktsegment")])
 searched("search_col_notequals", "customer", "customer", "lower(c_mktsegment) <> 'building'", [Term("building", P.NOT_EQUALS, "c_mktsegment")])
 searched("search_col_startswith", "part", "part", "starts_with(lower(p_brand), 'brand#1')", [Term("brand#1", P.STARTS, "p_brand")])
-searched("search_col_endswith", "part", "part", "suffix(p_retailprice, '5')", [Term("5", P.ENDS, "p_retailprice")])
+searched("search_col_endswith", "part", "part", "suffix(lower(p_name), 'ring')", [Term("RING", P.ENDS, "p_name")])
 searched("search_not_contains_any", "nation", "nation", "NOT (contains(n_nationkey, '1') OR contains(lower(n_name), '1') OR contains(n_regionkey, '1'))", [Term("1", P.NOT_CONTAINS)])
 searched("search_regex", "supplier", "supplier", "regexp_matches(s_name, 'r#0+[1-3]', 'i') ", [Term("R#0+[1-3]", P.REGEX, "s_name")])
 searched("search_regex_invalid", "supplier", "supplier", "false", [Term("[a", P.REGEX, "s_name")])
-searched("search_case_sensitive", "part", "part", "contains(p_brand, 'Brand') AND NOT contains(p_brand, 'BRAND')", [Term("Brand", column="p_brand", case=True), Term("BRAND", P.NOT_CONTAINS, "p_brand", True)])
+searched("search_case_sensitive", "part", "part", "contains(p_type, 'ECO') OR contains(p_name, 'RED') OR contains(p_name, 'blue')", [Term("ECO", column="p_type", case=True), Term("RED", column="p_name", case=True), Term("blue", column="p_name", case=True)], True)
 searched("search_all_terms", "orders", "orders", "o_orderstatus = 'F' AND starts_with(o_totalprice, '1')", [Term("f", P.EQUALS, "o_orderstatus"), Term("1", P.STARTS, "o_totalprice")], columns=ORDER_COLUMNS)
 searched("search_any_terms", "orders", "orders", "o_orderstatus = 'F' OR starts_with(o_totalprice, '1')", [Term("f", P.EQUALS, "o_orderstatus"), Term("1", P.STARTS, "o_totalprice")], True, ORDER_COLUMNS)
 searched("search_missing_col_pos", "nation", "nation", "false", [Term("a", column="nothing")])
@@ -98,12 +101,36 @@ def value_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Filters().with_values("event_type", chosen).apply(t).wide(["event_type", "user_id"])
 
 
-@query("SELECT event_id row_idx, event_type FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'click')")
+@query("SELECT o_orderkey row_idx, o_orderstatus FROM orders WHERE o_custkey % 3 = 0 AND o_custkey < 9000")
 def value_filter_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A value filter whose values come from a table: a semi join."""
-    t = text(spark, sf_dir, "events", ["event_id", "event_type", "user_id"])
-    wanted = t.df.where(t.value("event_type") == "click").select(t.value("user_id").alias("wanted"))
-    return t.having(t.df.join(wanted, t.value("user_id") == F.col("wanted"), "left_semi")).wide(["event_type"])
+    """More values than fit a condition: a semi join."""
+    t = text(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"])
+    return Filters().with_values("o_custkey", {str(i) for i in range(0, 9000, 3)}).apply(t).wide(["o_orderstatus"])
+
+
+#: Doubles as they stand: an eighth of an amount, whose digits both engines print alike.
+EIGHTHS = "(SELECT o_orderkey k, (o_totalprice / 8)::varchar x, o_totalprice / 8 d FROM orders)"
+
+
+def eighths(spark: SparkSession, sf_dir: str) -> TextTable:
+    return TextTable.from_dataframe(read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 8).alias("x")), "o_orderkey")
+
+
+@query(f"SELECT k row_idx, x FROM {EIGHTHS} WHERE suffix(x, '75')")
+def double_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Filters(query=Query((Term("75", P.ENDS, "x"),))).apply(eighths(spark, sf_dir)).wide(["x"])
+
+
+@query(f"SELECT k row_idx, row_number() OVER (ORDER BY d DESC, k) - 1 pos FROM {EIGHTHS}")
+def double_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, by = Sorted().by("x", True).prepared(eighths(spark, sf_dir))
+    return positions(t.df, by, "pos", ORDER)
+
+
+@query(f"SELECT count(*) row_count, count(DISTINCT x)::bigint distinct_count, arg_min(x, (d, k)) min_text, arg_max(x, (d, -k)) max_text, count(*) numeric_count, min(d) numeric_min, max(d) numeric_max, round(avg(d), 4) numeric_mean FROM {EIGHTHS}")
+def double_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = column_statistics(eighths(spark, sf_dir), "x").withColumn("numeric_mean", F.round("numeric_mean", 4))
+    return found.select("row_count", "distinct_count", "min_text", "max_text", "numeric_count", "numeric_min", "numeric_max", "numeric_mean")
 
 
 @query("SELECT event_id row_idx, event_type FROM events WHERE false")
@@ -123,7 +150,7 @@ def pattern_filter_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey::varchar l_orderkey, l_linenumber::varchar l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag IN ('A', 'N') AND contains(l_quantity::decimal(18,2)::varchar, '5') AND starts_with(l_orderkey::varchar, '1')")
 def predicate_set_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = TextTable.from_dataframe(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"), "l_orderkey")
+    t = TextTable.from_dataframe(money(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]), "l_orderkey")
     f = Filters(query=Query((Term("1", P.STARTS, "l_orderkey"),))).with_values("l_returnflag", {"A", "N"}).with_pattern("l_quantity", "5")
     return f.apply(t).wide(["l_orderkey", "l_linenumber", "l_returnflag"]).drop(ORDER)
 
@@ -147,8 +174,8 @@ def hidden_match_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sorted_positions(name: str, table: str, column: str, down: bool, order: str, columns: list[str]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = text(spark, sf_dir, table, columns)
-        return positions(t.df, Sorted().by(column, down).columns(t), "pos", ORDER)
+        t, by = Sorted().by(column, down).prepared(text(spark, sf_dir, table, columns))
+        return positions(t.df, by, "pos", ORDER)
 
     query(f"SELECT {KEYS[table]} row_idx, row_number() OVER (ORDER BY {order}) - 1 pos FROM {table}", name)(run)
 
@@ -161,16 +188,15 @@ sorted_positions("sort_text_stable_desc", "customer", "c_mktsegment", True, "c_m
 @query("SELECT o_orderkey row_idx, row_number() OVER (ORDER BY o_orderstatus DESC, o_orderpriority, o_orderkey) - 1 pos FROM orders")
 def sort_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sort by one column, then by another: ties keep the first sort's order."""
-    t = text(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus", "o_orderpriority"])
-    return positions(t.df, Sorted().by("o_orderpriority").by("o_orderstatus", True).columns(t), "pos", ORDER)
+    t, by = Sorted().by("o_orderpriority").by("o_orderstatus", True).prepared(text(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus", "o_orderpriority"]))
+    return positions(t.df, by, "pos", ORDER)
 
 
 @query("SELECT doc_id row_idx, row_number() OVER (ORDER BY substring(hex(encode(text)), 1, 64), doc_id) - 1 pos FROM documents")
 def sort_id_prefix32(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("_ID"))
-    t = TextTable.from_dataframe(df, "doc_id")
-    short = t.df.select(ORDER, id_key(t).alias("id_bytes"))
-    return positions(short, [F.col("id_bytes"), F.col(ORDER)], "pos", ORDER, "id_bytes").drop("id_bytes")
+    t, by = Sorted().by("_ID").prepared(TextTable.from_dataframe(df, "doc_id"))
+    return positions(t.df, by, "pos", ORDER)
 
 
 def _page(number: int, columns: list[str]) -> Made:
@@ -344,13 +370,7 @@ def _file(spark: SparkSession, sf_dir: str) -> str:
         lines += [f"DATA={name.upper()}", "START-OF-FIELDS", "_ID", *df.columns, "END-OF-FIELDS", "START-OF-DATA"]
         lines += ["|".join(map(str, (r[0], *r))) for r in sorted(df.collect())]
         lines += ["END-OF-DATA", f"DATARECORDS={df.count()}"]
-    from tabulon.functions.staging import shared_folder
-
-    folder = shared_folder(spark).removeprefix("file://")
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    at = Path(tempfile.mkdtemp(dir=folder), "tables_bulk.dif")
-    at.write_text("\n".join([*lines, "END-OF-FILE", ""]))
-    return str(at)
+    return written_text(spark, "tables_bulk.dif", "\n".join([*lines, "END-OF-FILE", ""]))
 
 
 @query("SELECT n_nationkey::bigint AS row_idx, concat_ws('|', n_nationkey, n_nationkey, n_name, n_regionkey) AS line FROM nation")
@@ -388,8 +408,9 @@ def export_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT r_regionkey::bigint row_idx, r_name FROM region ORDER BY 1 LIMIT 2")
 def preview_two_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = text(spark, sf_dir, "region")
-    return t.having(t.df.orderBy(ORDER).limit(X.PREVIEW_ROWS)).wide(["r_name"])
+    t, by = Sorted().prepared(text(spark, sf_dir, "region"))
+    lines = X.preview(t, by, X.format_of("csv", t)).decode().splitlines()[1:]
+    return spark.createDataFrame([(int(key), name) for key, name in (x.split(",") for x in lines)], "row_idx long, r_name string")
 
 
 @query("SELECT o_orderkey row_idx, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS third, (o_orderkey % 3 = 2) AS extra_found FROM orders")

@@ -93,7 +93,8 @@ def test_numbers_and_order(spark):
     assert got[:8] == ["", "NaN", "-5", ".5", "2", " 3 ", "10", "1e1"]
     down = [r["row_idx"] for r in ordered(t, Sorted().by("x", True)).collect()]
     assert down.index(0) < down.index(5)  # equal numbers keep their order
-    assert [r["pos"] for r in positions(t.df, Sorted().by("x").columns(t)).orderBy("pos").collect()] == list(range(len(values)))
+    keyed, by = Sorted().by("x").prepared(t)
+    assert [r["pos"] for r in positions(keyed.df, by).orderBy("pos").collect()] == list(range(len(values)))
     assert df.select(sort_key(F.col("x")).alias("k")).where("k.kind = 1").count() == 7
 
 
@@ -101,16 +102,17 @@ def test_composed_sorts_and_id_bytes(spark):
     t = TextTable.from_dataframe(spark.createDataFrame([(0, "b", "1", "z" * 40 + "b"), (1, "a", "1", "z" * 40 + "a"), (2, "a", "0", "y")], "k long, p string, q string, _ID string"), "k")
     assert [r["row_idx"] for r in ordered(t, Sorted().by("q").by("p")).collect()] == [2, 1, 0]
     assert [r["row_idx"] for r in ordered(t, Sorted().by("_ID")).collect()] == [2, 0, 1]  # 32 bytes tie
-    assert Sorted().toggled("p").toggled("p").keys == (("p", True),) and Sorted().by("nothing").columns(t)
+    assert Sorted().toggled("p").toggled("p").keys == (("p", True),) and Sorted().by("nothing").prepared(t)[1]
 
 
 def test_statistics(spark, prices):
     s = Statistics.of(prices, "PRICE")
-    assert (s.row_count, s.numeric_sum, s.numeric_mean, s.min_text, s.max_text, s.distinct_count, s.fully_numeric) == (3, 301.5, 100.5, "99.75", "101.25", 3, True)
+    assert (s.row_count, s.numeric_sum, s.numeric_mean, s.min_text, s.max_text, s.distinct_count, s.fully_numeric) == (3, pytest.approx(198.45), pytest.approx(66.15), "12.90", "97.35", 3, True)
     t = TextTable.from_dataframe(spark.createDataFrame([(0, ""), (1, "1.0"), (2, "1"), (3, "x"), (4, "1")], "k long, x string"), "k")
     s = Statistics.of(t, "x")
     assert (s.row_count, s.blank_count, s.distinct_count, s.numeric_count, s.min_text, s.max_text) == (5, 1, 3, 3, "1.0", "x")
-    assert dict(s.lines())["Numeric values"] == "3 of 4" and dict(s.lines())["Blank"] == "1  (20%)"
+    assert s.measures()["numeric_count"] == 3 and s.measures()["blank_fraction"] == 0.2 and s.shown_measures()["numeric_mean"] == "1"
+    assert "numeric_sum" not in Statistics.of(t.having(t.df.where("c1 = 'x'")), "x").measures()
     none = Statistics.of(t, "nothing")
     assert none.row_count == 0 and none.min_text is None and Statistics.of(t.having(t.df.limit(0)), "x").row_count == 0
     assert [shown_number(x) for x in (1234.5, 0.0, 1e12, 0.00001, 2.0)] == ["1,234.5", "0", "1e+12", "1e-5", "2"]
@@ -131,8 +133,8 @@ def test_diff(spark):
     found = compared(left, right)
     assert sorted((r["kind"], r["key"], r["left_row"]) for r in found.entries.collect() if r["left_row"] is not None) == [("changed", "b", 1), ("changed", "d", 4), ("removed", "a", 0), ("unchanged", "b", 2), ("unchanged", "c", 3)]
     assert found.summary().head().asDict() == {"added": 1, "removed": 1, "changed": 2, "unchanged": 2}
-    assert "both sides" in found.message("_ID")[1] and ids(found.extracted("added", left, right)) == [4]
-    assert "missing" in compared(left, right, "nothing").message("nothing")[1]
+    assert found.warnings() == {"missing_key": (False, False), "repeated_key": (True, True)} and ids(found.extracted("added", left, right)) == [4]
+    assert compared(left, right, "nothing").warnings()["missing_key"] == (True, True)
 
 
 def test_edits_resolve_and_undo(prices):
@@ -143,8 +145,8 @@ def test_edits_resolve_and_undo(prices):
     new = o.add(3)
     o.edit(new, 0, "NEWSEC")
     seen = {r["row_idx"]: (r["fields"], r["render_state"]) for r in o.resolve(prices).df.collect()}
-    assert seen[1] == (["SEC002 HK Equity", "0", "555.55"], "Edited") and seen[-1] == (["NEWSEC", "", ""], "Added") and 2 not in seen
-    assert seen[0][0] == ["SEC001 HK Equity", "0", "100.50"]
+    assert seen[1] == (["SEC002 ZZ Note", "0", "555.55"], "Edited") and seen[-1] == (["NEWSEC", "", ""], "Added") and 2 not in seen
+    assert seen[0][0] == ["SEC001 ZZ Note", "0", "88.20"]
     o.undo()
     assert o.edits.get(new) is None
     o.undo()
@@ -170,7 +172,7 @@ def test_recovery(tmp_path, prices):
 
 def written(t: TextTable, form: str, order=None) -> bytes:
     out = io.BytesIO()
-    X.export(t, order or Sorted().columns(t), X.format_of(form, t), out)
+    X.export(t, order or Sorted().prepared(t)[1], X.format_of(form, t), out)
     return out.getvalue()
 
 
@@ -212,7 +214,7 @@ def test_views(spark, prices):
     assert v.page == 0 and v.highlight_instead().highlight.terms and v.cleared().count() == 3
     e = View(prices, sort=Sorted().by("PRICE", True)).extracted(prices.df.where("row_idx <> 1"))
     assert [r["row_idx"] for r in e.ordered().collect()] == [0, 2]
-    m, at = View(prices, highlight=Query.of("101")).match(5)
+    m, at = View(prices, highlight=Query.of("97.3")).match(5)
     assert [r["row_idx"] for r in m.collect()] == [1] and at == 0
     s = Selection().every().toggled(1)
     assert s.count(3) == 2 and not s.has(1) and ids(View(prices, selection=s).selected()) == [0, 2]
@@ -236,3 +238,27 @@ def test_added_rows_stand_last_by_id(prices):
     v = View(prices, o, sort=Sorted().by("_ID", True))
     assert [r["row_idx"] for r in v.ordered().collect()] == [2, 1, 0, -1]
     assert [r["row_idx"] for r in View(prices, o, sort=Sorted().by("PRICE")).ordered().collect()] == [-1, 2, 0, 1]
+
+
+def test_doubles_keep_their_digits(spark):
+    values = [0.001, 1e-9, 123.456789, float("nan"), float("inf"), float("-inf"), 1e20, None, -0.0]
+    t = TextTable.from_dataframe(spark.createDataFrame(list(enumerate(values)), "k long, x double"), "k")
+    got = {r["row_idx"]: r["x"] for r in t.wide(["x"]).collect()}
+    assert [float(got[i]) for i in (0, 1, 2, 4, 5, 6, 8)] == [0.001, 1e-9, 123.456789, float("inf"), float("-inf"), 1e20, 0.0] and got[3] == "NaN" and got[7] == ""
+    assert [r["row_idx"] for r in ordered(t, Sorted().by("x")).collect()] == [7, 3, 5, 8, 1, 0, 2, 6, 4]
+    assert ids(Filters(query=Query.of("456789")).apply(t)) == [2] and Statistics.of(t, "x").numeric_count == 8
+
+
+def test_sorts_compare_plain_columns(spark, capsys):
+    t = TextTable.from_dataframe(spark.createDataFrame([(0, "b"), (1, "2")], "k long, x string"), "k")
+    ordered(t, Sorted().by("x")).explain()
+    plan = capsys.readouterr().out
+    assert all("RLIKE" not in line.upper() for line in plan.splitlines() if "Sort [" in line or "rangepartitioning" in line)
+    assert set(ordered(t, Sorted().by("x")).columns) == set(t.df.columns)
+
+
+def test_structural_edits_go_to_the_first_page(prices):
+    v = View(prices, page_size=1, page=2)
+    assert v.count() == 3
+    v = v.edited(lambda o: o.delete(0))
+    assert v.page == 0 and v.count() == 2 and View(prices, v.overlay, page=1).edited(Overlay.undo).count() == 3
