@@ -40,8 +40,17 @@ def written_text(spark: SparkSession, name: str, text: str) -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
+    """df as a table written to the shared folder: it cuts lineage and survives lost executors. It goes when the process ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tabulon/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Removes a staged table early, once nothing reads it any more."""
+    if path := getattr(df, "_staged_path", None):
+        _drop(df.sparkSession, path)
