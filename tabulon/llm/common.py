@@ -1,15 +1,13 @@
-"""What the operators of this subpackage share: tables, shared storage and bounded hashing helpers."""
+"""What the operators of this subpackage share: tables and bounded hashing helpers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.functions.staging import drop_staged, staged  # noqa: F401 - for the operators
+
 #: Stands for a null id inside an operator; results have null again.
 NO_ID = -(2**63)
 
@@ -18,43 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tabulon.shared.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tabulon-")
-        spark.conf.set("tabulon.shared.dir", at)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001 - the session may be gone at exit
-        pass
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df as a table written to the shared folder: it cuts lineage and survives lost executors. It goes when the process ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tabulon/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path  # type: ignore[attr-defined]
-    return out
-
-
-def drop_staged(df: DataFrame) -> None:
-    """Removes a staged table early, once nothing reads it any more."""
-    if path := getattr(df, "_staged_path", None):
-        _remove(df.sparkSession, path)
-
-
 def with_ids(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only key and text, under the names doc_id and text: no other column can clash; null ids become NO_ID, null texts empty."""
     return df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
