@@ -8,7 +8,10 @@ Template: a turn is `### role: text</turn>` and a newline. In roles and texts ba
 as `\\\\`, `\\l`, `\\h` and `\\c`, so no text can hold a control string, and reading back is exact.
 
 Nulls: text and role are empty, a null conversation is a conversation, a null score 0, a message whose parent is missing
-is a root. Ties: smaller message ids come first. Repeated rows are messages of their own. Empty table: no rows.
+is a root. Of messages that answer each other in a circle, or of one that answers itself, the one with the smallest id is a
+root. Ties: smaller message ids come first. Of several rows with one id in a conversation the least by parent, score, role
+and text stands (in plain conversations, which have no ids, repeated rows are messages of their own); rows with a null id
+are left out. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -43,17 +46,40 @@ def chains(messages: DataFrame, conv: str = "conv_id", order: str = "turn") -> D
     return rows.select("conv_id", "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def once(messages: DataFrame) -> DataFrame:
+    """One row for each id of a conversation; null scores, roles and texts are filled."""
+    fields = F.struct("parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return messages.where(F.col("id").isNotNull()).groupBy("conv_id", "id").agg(F.min(fields).alias("m")).select("conv_id", "id", "m.*")
+
+
+def _circle_roots(pointers: DataFrame, rounds: int) -> DataFrame:
+    """c2, i2: the smallest id of each circle. After 2^rounds steps, more than a conversation has messages, only walks in a
+    circle go on, and they stand on each of its messages; the smallest id that a walk from one of these meets is the circle's."""
+    same = F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("up") == F.col("i2"))
+    now = pointers.where(F.col("up").isNotNull()).select("conv_id", "id", "up", F.col("id").alias("least"))
+    for _ in range(rounds):
+        above = now.select(F.col("conv_id").alias("c2"), F.col("id").alias("i2"), F.col("up").alias("u2"), F.col("least").alias("l2"))
+        now = staged(now.join(above, same).select("conv_id", "id", F.col("u2").alias("up"), F.least("least", "l2").alias("least")), "circles")
+    reached = now.select(F.col("conv_id").alias("c2"), F.col("up").alias("i2")).distinct()
+    return now.where(F.col("least") == F.col("id")).join(reached, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("id") == F.col("i2"))).select("c2", "i2")
+
+
 def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """conv_id, root, branch (1: the best), depth (from 0), id: the messages of the chosen branches of each tree.
 
-    messages: conv_id, id, parent and score, the ids unique in a conversation. A branch's score is the sum along its path."""
-    nodes = staged(messages.select("conv_id", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "nodes")
+    messages: conv_id, id, parent and score, as once() leaves them. A branch's score is the sum along its path."""
+    nodes = staged(messages.where(F.col("id").isNotNull()).select("conv_id", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "nodes")
+    largest = nodes.groupBy("conv_id").count().agg(F.max("count")).head()[0] or 0
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     known = nodes.select(F.col("conv_id").alias("c2"), F.col("id").alias("p2"))
     start = nodes.join(known, same("conv_id", "c2") & (F.col("parent") == F.col("p2")), "left").select("conv_id", "id", F.col("p2").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("span"), F.col("id").alias("top"))
     now = staged(start, "pointers")
     levels = [now]
     while not (active := now.where(F.col("up").isNotNull())).isEmpty():
+        if len(levels) > largest.bit_length():  # the pointers span more than there are messages: circles
+            cut = staged(_circle_roots(levels[0], largest.bit_length()), "circle-roots")
+            open_ = nodes.join(cut, same("conv_id", "c2") & (F.col("id") == F.col("i2")), "left")
+            return chosen_paths(open_.withColumn("parent", F.when(F.col("i2").isNull(), F.col("parent"))), branches)
         above = now.select(F.col("conv_id").alias("c2"), F.col("id").alias("i2"), F.col("up").alias("u2"), F.col("total").alias("t2"), F.col("span").alias("s2"), F.col("top").alias("top2"))
         further = active.join(above, same("conv_id", "c2") & (F.col("up") == F.col("i2"))).select("conv_id", "id", F.col("u2").alias("up"), (F.col("total") + F.col("t2")).alias("total"), (F.col("span") + F.col("s2")).alias("span"), F.col("top2").alias("top"))
         now = staged(further.unionByName(now.where(F.col("up").isNull())), "pointers")
@@ -70,10 +96,12 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     return marked.join(depth, same("conv_id", "c2") & (F.col("id") == F.col("i2"))).select("conv_id", "root", "branch", "depth", "id")
 
 
-def formatted(messages: DataFrame, branches: int = 1, learned: str = "assistant") -> DataFrame:
+def formatted(messages: DataFrame, branches: int = 1, learned: str = "assistant", unique: bool = False) -> DataFrame:
     """conv_id, root, branch, n_turns, formatted, loss (spans of code points: start, length): a row for each chosen branch.
 
-    The mask covers the escaped texts of the learned role, without the template around them."""
+    messages: conv_id, id, parent, role, text, score; unique: as once() leaves them, so they needn't be grouped by id. The
+    mask covers the escaped texts of the learned role, without the template around them."""
+    messages = messages if unique else staged(once(messages), "messages")
     same = F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("id") == F.col("i2"))
     texts = messages.select(F.col("conv_id").alias("c2"), F.col("id").alias("i2"), "role", "text")
     rows = chosen_paths(messages, branches).join(texts, same)
@@ -111,8 +139,8 @@ def masked(text: Column, loss: Column) -> Column:
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    """What each formatted conversation says when it is read back."""
-    done = staged(formatted(conversations), "formatted")
+    """What each formatted conversation of chains() says when it is read back."""
+    done = staged(formatted(conversations, unique=True), "formatted")
     read = done.select("conv_id", parsed(F.col("formatted")).alias("turns"), masked(F.col("formatted"), F.col("loss")).alias("under"), F.length("formatted").alias("size"))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("under").cast("long").alias("loss_chars"), F.sha2("under", 256).alias("loss_sha256"), F.col("size").cast("long").alias("formatted_chars"))

@@ -28,7 +28,6 @@ def test_reply_trees(spark):
     """Two trees in one conversation; a branch's score is the sum along its path, ties go to the smaller leaf."""
     rows = [(1, 1, None, "user", "hi", 1.0), (1, 2, 1, "assistant", "a", 1.0), (1, 3, 1, "assistant", "b", 5.0), (1, 4, 2, "user", "c", 9.0), (1, 5, 3, "user", None, 1.0), (1, 6, 5, "assistant", "</turn>", None), (1, 7, None, "user", "alone", 0.0), (1, 8, 7, "x", "t1", 2.0), (1, 9, 7, "x", "t2", 2.0), (None, 1, 99, None, "lost", 0.0)]
     df = spark.createDataFrame(rows, "conv_id long, id long, parent long, role string, text string, score double")
-    df = df.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
     paths = defaultdict(list)
     for r in chat.chosen_paths(df, 2).collect():
         paths[r["conv_id"], r["root"], r["branch"]].append((r["depth"], r["id"]))
@@ -37,6 +36,27 @@ def test_reply_trees(spark):
     assert [(t["role"], t["text"]) for t in best[1, 1]["back"]] == [("user", "hi"), ("assistant", "a"), ("user", "c")] and best[1, 1]["loss_text"] == "a"
 
 
+def test_odd_reply_trees(spark):
+    """Circles, messages that answer themselves, repeated ids, null texts and a long text."""
+    long = "word # </turn> " * 20_000
+    rows = [(1, 1, 1, "user", "self", 0.0), (1, 2, 1, "assistant", None, 0.0), (1, 3, 2, None, "c", 1.0)]
+    rows += [(2, 1, 3, "user", "a", 1.0), (2, 2, 1, "assistant", "b", 1.0), (2, 3, 2, "user", "c", 1.0), (2, 4, 3, "assistant", long, 1.0), (2, 5, 2, "assistant", "e", 0.0)]
+    rows += [(3, 7, None, "user", "b", 0.0), (3, 7, None, "user", "a", 0.0), (3, 7, None, "user", "a", 0.0), (3, 8, 7, "assistant", "x", 0.0), (3, 8, 7, "assistant", "x", 0.0), (3, None, 7, "assistant", "no id", 9.0)]
+    df = spark.createDataFrame([(*r, "k", 5) for r in rows], "conv_id long, id long, parent long, role string, text string, score double, up string, c2 int")
+    out = chat.formatted(df, 2).withColumn("back", chat.parsed(F.col("formatted")))
+    got = sorted((r["conv_id"], r["root"], r["branch"], [(t["role"], t["text"]) for t in r["back"]]) for r in out.collect())
+    circle = [("user", "a"), ("assistant", "b")]
+    assert got == [
+        (1, 1, 1, [("user", "self"), ("assistant", ""), ("", "c")]),
+        (2, 1, 1, [*circle, ("user", "c"), ("assistant", long)]),
+        (2, 1, 2, [*circle, ("assistant", "e")]),
+        (3, 7, 1, [("user", "a"), ("assistant", "x")]),
+    ]
+    assert chat.formatted(df.limit(0)).count() == 0
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_chat_digests(spark):
     rows = [(i, t, role, x) for i, t0 in enumerate(HOSTILE) for t, (role, x) in enumerate([("user", t0), ("assistant", t0), ("sys:tem<", None), ("assistant", "é漢" + t0)])]
     rows += [(50, 0, "user", "same"), (50, 0, "user", "same"), (51, 0, None, None), (None, 3, "assistant", "n"), *((60, t, "assistant" if t % 2 else "user", f"m{t}") for t in range(33))]
