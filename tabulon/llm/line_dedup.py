@@ -32,6 +32,9 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 DROP, OPEN, SUMMARY = 0, 1, 2
 ROW = "kind byte, a long, b long, doc_id long, mark long, pos int"
 
+#: Keys at the ends of partitions that are broadcast, 32 bytes each.
+EDGES = 1 << 18
+
 
 def line_key(line: bytes) -> bytes:
     return line.strip(BLANKS).translate(LOWER)
@@ -151,7 +154,9 @@ def dropped_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) -
     settled = staged(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_settle(least_docs), ROW), "line-marks")
     # at most two keys a partition, three documents each
     edges = settled.where(F.col("kind") == SUMMARY).groupBy("a", "b").agg(F.max("doc_id").alias("largest"), F.countDistinct("doc_id").alias("n")).where(F.col("n") >= least_docs)
-    late = settled.where(F.col("kind") == OPEN).join(F.broadcast(edges), ["a", "b"]).where(F.col("doc_id") < F.col("largest"))
+    edges = staged(edges, "edges")
+    small = F.broadcast(edges) if edges.count() <= EDGES else edges  # beyond, a join that splits hot keys
+    late = settled.where(F.col("kind") == OPEN).join(small, ["a", "b"]).where(F.col("doc_id") < F.col("largest"))
     drops = settled.where(F.col("kind") == DROP).select("doc_id", "mark", "pos").unionByName(late.select("doc_id", "mark", "pos"))
     return drops.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("drops"))
 
@@ -198,7 +203,7 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) ->
 
 
 def without_dropped(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) -> DataFrame:
-    """The documents with the lines that stay; their other columns as they are."""
+    """The documents with the lines that stay: doc_id as a long, null texts empty, other columns as they are."""
     columns = docs.columns
     inner = docs.select([F.col(c).alias(c if c in ("doc_id", "text") else f"other_{i}") for i, c in enumerate(columns)])
     names = inner.columns
