@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import wave
 import zlib
 from collections.abc import Iterator
@@ -80,8 +81,9 @@ def resampled(samples: np.ndarray) -> np.ndarray:
     out = np.empty(len(samples) * UP // DOWN, np.float32)
     phases = _filter()
     for p in range(UP):
-        n = np.arange(p, len(out), UP)
-        out[p::UP] = views[n * DOWN // UP] @ phases[n[0] * DOWN % UP][::-1] if len(n) else 0
+        for at in range(p, len(out), UP * BLOCK):
+            n = np.arange(at, min(len(out), at + UP * BLOCK), UP)
+            out[n] = views[n * DOWN // UP] @ phases[p * DOWN % UP][::-1]
     return out
 
 
@@ -127,8 +129,22 @@ def features(media: bytes) -> tuple[list[tuple[float, float]], np.ndarray]:
     return [(a * seconds, b * seconds) for a, b in found], np.stack([tensor(mels[a:b]) for a, b in found])
 
 
+#: Arrow's type of a span's tensor, and what a schema's field says of a list of them: Spark and its files keep it, so a
+#: reader gets the shape with the column.
+TENSOR = pa.fixed_shape_tensor(pa.float32(), SHAPE)
+TENSOR_FIELD = {"ARROW:extension:name": TENSOR.extension_name, "ARROW:extension:metadata": json.dumps({"shape": list(SHAPE)})}
+
+
+def tensor_array(flat: pa.Array, field: dict[str, str] = TENSOR_FIELD) -> pa.FixedShapeTensorArray:
+    """Stored tensors as an Arrow array of the type that their field names."""
+    if field["ARROW:extension:name"] != TENSOR.extension_name:
+        raise ValueError("not a column of tensors")
+    shape = json.loads(field["ARROW:extension:metadata"])["shape"]
+    return pa.FixedShapeTensorArray.from_numpy_ndarray(flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, *shape))
+
+
 def media_columns(docs: DataFrame, batch: int = 64) -> DataFrame:
-    """doc_id, n_bytes, media (WAV), starts, ends (seconds), tensors (SHAPE each, flat, one for each span)."""
+    """doc_id, n_bytes, media (WAV), starts, ends (seconds), tensors (one for each span; TENSOR_FIELD says their shape)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,15 +152,14 @@ def media_columns(docs: DataFrame, batch: int = 64) -> DataFrame:
                 raw = [x.encode() for x in b.column(1).slice(at, batch).to_pylist()]
                 media = [stored(payload_of(x)) for x in raw]
                 found = [features(x) for x in media]
-                # Arrow's type for tensors of one shape; its storage is what Spark keeps
-                kind = pa.fixed_shape_tensor(pa.float32(), SHAPE)
-                flat = pa.concat_arrays([pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(t.ravel()), SHAPE[0] * SHAPE[1])).storage for _, t in found])
+                shaped = pa.FixedShapeTensorArray.from_numpy_ndarray(np.concatenate([t for _, t in found]))
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s, _ in found])])
-                tensors = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat.cast(pa.list_(pa.float32())))
+                tensors = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), shaped.storage.cast(pa.list_(pa.float32())))  # Spark's tasks pass on storage only
                 times = [pa.array([[t[k] for t in s] for s, _ in found], pa.list_(pa.float64())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, batch), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary()), *times, tensors], names=["doc_id", "n_bytes", "media", "starts", "ends", "tensors"])
 
-    return with_ids(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary, starts array<double>, ends array<double>, tensors array<array<float>>").withColumn("doc_id", id_back())
+    out = with_ids(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary, starts array<double>, ends array<double>, tensors array<array<float>>")
+    return out.withColumn("doc_id", id_back()).withMetadata("tensors", TENSOR_FIELD)
 
 
 def described(starts: np.ndarray, ends: np.ndarray, tensors: np.ndarray) -> str:
@@ -155,11 +170,13 @@ def described(starts: np.ndarray, ends: np.ndarray, tensors: np.ndarray) -> str:
 
 def media_digests(docs: DataFrame, batch: int = 256) -> DataFrame:
     """The media columns of each document as sizes, checksums and a description of the features, from media_columns' rows."""
+    columns = media_columns(docs)
+    field = columns.schema["tensors"].metadata
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def one(media: bytes, starts: pa.Scalar, ends: pa.Scalar, tensors: pa.Scalar) -> tuple:
         back = read_back(media)
-        shaped = tensors.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, *SHAPE)
+        shaped = tensor_array(tensors.values, field).to_numpy_ndarray()
         feature = described(starts.values.to_numpy(zero_copy_only=False), ends.values.to_numpy(zero_copy_only=False), shaped)
         return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
@@ -171,4 +188,4 @@ def media_digests(docs: DataFrame, batch: int = 256) -> DataFrame:
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, rows, kinds)], names=names)
 
-    return media_columns(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return columns.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -162,6 +163,62 @@ def test_media_digests_describe_the_media_columns(spark, docs, monkeypatch):
         assert r["media_sha256"] == sha(media) and r["feature"] == f"spans={len(times)} seconds={sum(b - a for a, b in times):.3f} frames=8x16 sha256={digest}"
 
 
+def plain_features(samples):
+    """Features by their definitions, one output sample, frame and band at a time."""
+    x = [s / 128 - 1 for s in samples]
+    n = audio.UP * audio.TAPS
+    taps = [np.sinc((i - (n - 1) / 2) / max(audio.UP, audio.DOWN)) * (0.5 - 0.5 * np.cos(2 * np.pi * (i + 1) / (n + 1))) for i in range(n)]
+    scale = audio.UP / sum(taps)
+    y = []
+    for k in range(len(x) * audio.UP // audio.DOWN):
+        at, phase = divmod(k * audio.DOWN, audio.UP)
+        y.append(scale * sum(taps[phase + audio.UP * j] * x[i] for j in range(audio.TAPS) if 0 <= (i := at + audio.TAPS - 1 - j - audio.TAPS // 2) < len(x)))
+    y += [0.0] * (audio.FRAME - len(y))
+    rate = audio.RATE * audio.UP / audio.DOWN
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(rate / 2) * i / (audio.BANDS + 1) / 2595) - 1) for i in range(audio.BANDS + 2)]
+    window = [0.5 - 0.5 * np.cos(2 * np.pi * i / (audio.FRAME - 1)) for i in range(audio.FRAME)]
+    mels, energy = [], []
+    for a in range(0, len(y) - audio.FRAME + 1, audio.HOP):
+        frame = y[a : a + audio.FRAME]
+        energy.append(sum(v * v for v in frame) / audio.FRAME)
+        power = [abs(sum(v * w * np.exp(-2j * np.pi * k * i / audio.FRAME) for i, (v, w) in enumerate(zip(frame, window)))) ** 2 for k in range(audio.FRAME // 2 + 1)]
+        line = lambda k: k * rate / audio.FRAME
+        mels.append([np.log(1e-6 + sum(p * max(0, min((line(k) - lo) / (mid - lo), (hi - line(k)) / (hi - mid))) for k, p in enumerate(power))) for lo, mid, hi in zip(edges, edges[1:], edges[2:])])
+    mean, on, runs = sum(energy) / len(energy), False, []
+    for i, e in enumerate(energy):
+        was, on = on, e > audio.HIGH * mean or on and not e < audio.LOW * mean
+        if on and not was:
+            runs.append([i, i])
+        if on:
+            runs[-1][1] = i + 1
+    return np.array(mels), runs or [[0, len(energy)]]
+
+
+def test_audio_features_by_definition():
+    samples = np.frombuffer(audio.payload_of((("loud ~~~~ " * 30 + "    " * 60) * 2 + "\x01\x02 quiet " * 20).encode()), np.uint8)
+    mels, energy = audio.log_mel(audio.resampled(samples))
+    expected, runs = plain_features(samples.tolist())
+    assert mels.shape == expected.shape and np.allclose(mels, expected, atol=2e-3)
+    assert [list(x) for x in audio.spans(energy)] == runs and len(runs) > 1
+    a, b = runs[0]
+    parts = np.linspace(0, b - a, audio.SHAPE[0] + 1).astype(int)
+    means = [expected[a:b][min(i, b - a - 1) : max(min(i, b - a - 1) + 1, j)].mean(0) for i, j in zip(parts, parts[1:])]
+    assert np.allclose(audio.tensor(mels[a:b]), means, atol=2e-3)
+
+
+def test_tensors_keep_their_shape(spark, docs, tmp_path):
+    audio.media_columns(docs.where("doc_id in (3, 21)")).write.parquet(str(tmp_path / "media"))
+    back = spark.read.parquet(str(tmp_path / "media"))
+    field = back.schema["tensors"].metadata
+    for batch in back.select("tensors", "starts").toArrow().to_batches():
+        for t, s in zip(*batch.columns):
+            shaped = audio.tensor_array(t.values, field)
+            assert shaped.type == pa.fixed_shape_tensor(pa.float32(), audio.SHAPE) and shaped.to_numpy_ndarray().shape == (len(s), *audio.SHAPE)
+    long = spark.createDataFrame([(1, "x" * 2_000_000)], "doc_id long, text string")
+    assert audio.media_digests(long).head()["payload_bytes"] == 2_000_064
+
+
 def test_audio_parts():
     tone = (np.sin(np.arange(4000) * 2 * np.pi * 300 / audio.RATE) * 100 + 128).astype(np.uint8)
     x = audio.resampled(tone)
