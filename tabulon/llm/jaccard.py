@@ -48,7 +48,7 @@ RARE = 16
 #: Shingles that more sets hold are grouped by Spark's joins, which split them; the rest in buckets.
 HOT = 10_000
 #: Shingles in a bucket, at least and at most, and buckets between these.
-BUCKET, LARGEST, BUCKETS = 500_000, 8_000_000, 4096
+BUCKET, LARGEST, BUCKETS = 2_000_000, 8_000_000, 4096
 #: Shingles and texts of a part of the input that are packed together.
 NEXT, TEXTS = 1 << 21, 60_000
 NO_LIMIT = 2**31 - 1
@@ -170,8 +170,8 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-#: Rows of documents (of each: id, size, key and check of its set) beside packed rows: hashes, local
-#: (places in keys), counts, and for each of keys its size.
+#: Rows of documents (of each: id, size, key and check of its set) beside packed entries: hashes, local (places in keys)
+#: and counts; and beside keys with their sizes, which are all dealt to one bucket a key.
 PACKED = "bucket int, doc_id long, n long, key long, check long, hashes binary, local binary, counts binary, keys binary, sizes binary"
 _PACKED = pa.schema([("bucket", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "n", "key", "check")), *((c, pa.binary()) for c in ("hashes", "local", "counts", "keys", "sizes"))])
 
@@ -186,41 +186,41 @@ def _rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) if f.name in columns else pa.nulls(k, f.type) for f in schema], schema=schema)
 
 
-def _dealt(schema: pa.Schema, bucket: np.ndarray, hashes: np.ndarray, node: np.ndarray, keys: np.ndarray, sizes: np.ndarray, counts: np.ndarray | None = None) -> pa.RecordBatch:
-    """Packs entries, sorted by bucket, with the keys and sizes that each bucket's refer to."""
+def _dealt(schema: pa.Schema, bucket: np.ndarray, hashes: np.ndarray, node: np.ndarray, keys: np.ndarray, counts: np.ndarray | None = None, **more: np.ndarray) -> pa.RecordBatch:
+    """Packs entries, sorted by bucket, with the keys that each bucket's refer to, and what else there is of each key."""
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
-    out: dict[str, list] = {c: [] for c in ("bucket", "hashes", "local", "counts", "keys", "sizes")}
+    out: dict[str, list] = {c: [] for c in ("bucket", "hashes", "local", "counts", "keys", *more)}
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(bucket)]):
         used, local = np.unique(node[a:b], return_inverse=True)
-        for c, x in (("bucket", int(bucket[a])), ("hashes", _planes(hashes[a:b])), ("local", local.astype(np.uint32 if len(used) > 1 << 16 else np.uint16).tobytes()), ("counts", None if counts is None else counts[a:b].astype(np.uint32).tobytes()), ("keys", keys[used].tobytes()), ("sizes", sizes[used].astype(np.int32).tobytes())):
+        for c, x in (("bucket", int(bucket[a])), ("hashes", _planes(hashes[a:b])), ("local", local.astype(np.uint32 if len(used) > 1 << 16 else np.uint16).tobytes()), ("counts", None if counts is None else counts[a:b].astype(np.uint32).tobytes()), ("keys", keys[used].tobytes()), *((c, x[used].astype(np.int32).tobytes()) for c, x in more.items())):
             out[c].append(x)
     return _rows(schema, **out)
 
 
-def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """hashes, keys, sizes and counts (zeros, if there are none) of all entries of packed rows."""
-    hashes, key, size, counts = [], [], [], []
-    for h, l, c, k, s in zip(*(table[x].to_pylist() for x in ("hashes", "local", "counts", "keys", "sizes"))):
+def _gathered(table: pa.Table, *more: str) -> list[np.ndarray]:
+    """hashes, keys, counts (zeros, if there are none), and more of each key, of all packed entries."""
+    out: list[list] = [[] for _ in range(3 + len(more))]
+    for h, l, c, k, *rest in zip(*(table[x].to_pylist() for x in ("hashes", "local", "counts", "keys", *more))):
         x, keys = _of_planes(h), np.frombuffer(k, np.int64)
         local = np.frombuffer(l, np.uint32 if len(keys) > 1 << 16 else np.uint16)
-        hashes.append(x)
-        key.append(keys[local])
-        size.append(np.frombuffer(s, np.int32)[local])
-        counts.append(np.zeros(len(x), np.uint32) if c is None else np.frombuffer(c, np.uint32))
-    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return join(hashes, np.uint64), join(key, np.int64), join(size, np.int32), join(counts, np.uint32)
+        for to, y in zip(out, (x, keys[local], np.zeros(len(x), np.uint32) if c is None else np.frombuffer(c, np.uint32), *(np.frombuffer(r, np.int32)[local] for r in rest))):
+            to.append(y)
+    return [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.uint64, np.int64, np.uint32, *(np.int32 for _ in more)))]
 
 
 def _split(buckets: int, seed: int):
     """The shingles of a part of the documents by bucket; of sets that are equal one, as far as they are remembered."""
 
-    def packed(sets: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
-        sizes = np.array([len(x) for x in sets])
+    def packed(sets: list[np.ndarray], names: list[int]) -> Iterator[pa.RecordBatch]:
+        keys, sizes = np.array(names, np.int64), np.array([len(x) for x in sets])
+        to = _bucket(mix(keys.view(np.uint64)), buckets)
+        parts = [np.flatnonzero(to == x) for x in np.unique(to)]
+        yield _rows(_PACKED, bucket=[int(to[x[0]]) for x in parts], keys=[keys[x].tobytes() for x in parts], sizes=[sizes[x].astype(np.int32).tobytes() for x in parts])
         node = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
         hashes = np.concatenate(sets)
         order = np.argsort(hashes, kind="stable")
         hashes = hashes[order]
-        return _dealt(_PACKED, _bucket(hashes, buckets), hashes, node[order], np.array(keys, np.int64), sizes)
+        yield _dealt(_PACKED, _bucket(hashes, buckets), hashes, node[order], keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, keys, size, seen = [], [], 0, set()
@@ -241,10 +241,10 @@ def _split(buckets: int, seed: int):
                     keys.append(k)
                     size += len(x)
                 if size > NEXT or len(sets) > TEXTS:
-                    yield packed(sets, keys)
+                    yield from packed(sets, keys)
                     sets, keys, size = [], [], 0
         if sets:
-            yield packed(sets, keys)
+            yield from packed(sets, keys)
 
     return run
 
@@ -253,30 +253,30 @@ def _counted(buckets: int):
     """Of one bucket of shingles those that several sets hold, with the number of sets, dealt by set."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs = table.filter(pc.is_null(table["hashes"]))
-        hashes, key, size, _ = _gathered(table.filter(pc.is_valid(table["hashes"])))
+        others = table.filter(pc.is_null(table["hashes"]))
+        hashes, key, _ = _gathered(table.filter(pc.is_valid(table["hashes"])))
         order = np.argsort(hashes, kind="stable")
         hashes = hashes[order]
         same = np.concatenate([[False], hashes[1:] == hashes[:-1], [False]])[: len(hashes) + 1]
         several = same[:-1] | same[1:] if len(hashes) else np.zeros(0, bool)
-        hashes, key, size = hashes[several], key[order[several]], size[order[several]]
+        hashes, key = hashes[several], key[order[several]]
         order = np.lexsort((key, hashes))
-        hashes, key, size = hashes[order], key[order], size[order]
+        hashes, key = hashes[order], key[order]
         if len(hashes):
             new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (key[1:] != key[:-1])])  # equal sets of other tasks
-            hashes, key, size = hashes[new], key[new], size[new]
+            hashes, key = hashes[new], key[new]
             first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
             times = np.diff(first, append=len(hashes))
             counts = np.repeat(times, times)
             keep = counts > 1
-            hashes, key, size, counts = hashes[keep], key[keep], size[keep], counts[keep]
+            hashes, key, counts = hashes[keep], key[keep], counts[keep]
         if not len(hashes):
-            return docs
-        keys, at, node = np.unique(key, return_index=True, return_inverse=True)
+            return others
+        keys, node = np.unique(key, return_inverse=True)
         to = _bucket(mix(key.view(np.uint64)), buckets)
         order = np.lexsort((hashes, to))
-        out = _dealt(_PACKED, to[order], hashes[order], node[order], keys, size[at], counts[order])
-        return pa.concat_tables([docs, pa.Table.from_batches([out])])
+        out = _dealt(_PACKED, to[order], hashes[order], node[order], keys, counts[order])
+        return pa.concat_tables([others, pa.Table.from_batches([out])])
 
     return run
 
@@ -291,16 +291,20 @@ def _signed(buckets: int, percent: int):
     """What other sets hold too of each set that can have a partner, and its signatures."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs = table.filter(pc.is_null(table["hashes"]))
-        hashes, key, size, counts = _gathered(table.filter(pc.is_valid(table["hashes"])))
+        docs = table.filter(pc.is_valid(table["doc_id"]))
+        known = table.filter(pc.is_valid(table["sizes"]))
+        names, at = np.unique(np.frombuffer(b"".join(known["keys"].to_pylist()), np.int64), return_index=True)
+        size = np.frombuffer(b"".join(known["sizes"].to_pylist()), np.int32)[at].astype(np.int64)
+        hashes, key, counts = _gathered(table.filter(pc.is_valid(table["hashes"])))
         out = [_rows(_KEYED, kind=np.full(len(docs), DOC), **{c: docs[c].combine_chunks() for c in ("doc_id", "n", "key", "check")})] if len(docs) else []
         order = np.lexsort((hashes, key))
-        hashes, key, size, counts = hashes[order], key[order], size[order].astype(np.int64), counts[order].astype(np.int64)
+        hashes, key, counts = hashes[order], key[order], counts[order].astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         held = np.diff(first, append=len(key))
-        can = 100 * largest_partner(size[first], held, percent) >= percent * size[first]
-        first, held = first[can], held[can]
-        keys, sizes = key[first], size[first]
+        sizes = size[np.searchsorted(names, key[first])]
+        can = 100 * largest_partner(sizes, held, percent) >= percent * sizes
+        first, held, sizes = first[can], held[can], sizes[can]
+        keys = key[first]
         found = [signatures(hashes[a : a + h], counts[a : a + h], int(m), percent) for a, h, m in zip(first.tolist(), held.tolist(), sizes.tolist())]
         if found:
             out.append(_rows(_KEYED, kind=np.full(len(first), SET), key=keys, n=sizes, held=held, hashes=[hashes[a : a + h].tobytes() for a, h in zip(first.tolist(), held.tolist())]))
@@ -314,9 +318,7 @@ def _signed(buckets: int, percent: int):
             order = np.argsort(sigs, kind="stable")
             sigs, limit, node = sigs[order], limit[order], node[order]
             if len(sigs):
-                batch = _dealt(_KEYED, _bucket(sigs, buckets), sigs, node, keys, sizes, limit.view(np.uint32))
-                of = [held[np.searchsorted(keys, np.frombuffer(raw, np.int64))].astype(np.int32).tobytes() for raw in batch.column("keys").to_pylist()]
-                batch = batch.set_column(batch.schema.get_field_index("helds"), _KEYED.field("helds"), pa.array(of, pa.binary()))
+                batch = _dealt(_KEYED, _bucket(sigs, buckets), sigs, node, keys, limit.view(np.uint32), sizes=sizes, helds=held)
                 out.append(batch.set_column(0, _KEYED.field("kind"), pa.array(np.full(batch.num_rows, SIGNED), pa.int32())))
         return pa.Table.from_batches(out, _KEYED)
 
@@ -328,8 +330,7 @@ GROUPS = "g long, key long, n long, held int, limit int"
 
 def _groups(table: pa.Table) -> pa.Table:
     """Of one bucket of signatures the distinct groups of sets that share one, without members that can have no partner there."""
-    helds = np.concatenate([np.frombuffer(h, np.int32)[np.frombuffer(x, np.uint32 if len(h) // 4 > 1 << 16 else np.uint16)] for h, x in zip(table["helds"].to_pylist(), table["local"].to_pylist())])
-    sigs, key, size, limit = _gathered(table)
+    sigs, key, limit, size, helds = _gathered(table, "sizes", "helds")
     limit = limit.view(np.int32)
     while True:
         order = np.argsort(sigs, kind="stable")
@@ -341,8 +342,12 @@ def _groups(table: pa.Table) -> pa.Table:
         if keep.all():
             break
         sigs, key, size, limit, helds = sigs[keep], key[keep], size[keep], limit[keep], helds[keep]
-    # one group for all signatures with the same members; if hashes of members collide, groups merge, and more is compared
-    name = np.repeat(np.add.reduceat(mix(key.view(np.uint64)), first), times) if len(first) else sigs
+    # one group for all signatures with the same members, or, beyond RARE, with the same least edited member: more is in
+    # one group than shares a signature, never less, and limits still hold
+    name = np.add.reduceat(mix(key.view(np.uint64)), first) if len(first) else sigs
+    edits = size - helds
+    order = np.lexsort((key, edits, np.repeat(np.arange(len(first)), times)))
+    name = np.repeat(np.where(times > RARE, mix(key[order][first].view(np.uint64)), name), times) if len(first) else sigs
     order = np.lexsort((-limit.astype(np.int64), key, name))
     name, key, size, limit, helds = name[order], key[order], size[order], limit[order], helds[order]
     new = np.concatenate([[True], (name[1:] != name[:-1]) | (key[1:] != key[:-1])])[: len(name)]
