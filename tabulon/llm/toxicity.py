@@ -1,8 +1,10 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy, over all overlapping windows.
 
-A word enters as how strongly it, and the character n-grams in it, go with the label in the labelled sample. The network
-reads windows of words in both directions, weighs their states by attention and gives one logit a window; a document's
-score is that of its highest window. Training takes a bounded sample of labelled documents (SAMPLE with the label, OTHERS without
+A word enters as a learned vector of its own, the mean of learned vectors of its character n-grams, and how strongly it and
+its n-grams go with the label in the labelled sample. The vectors are rows of two tables of fixed size, taken by hash and
+trained with the rest; they begin at zero, so words that training hasn't seen add nothing. The network reads windows of words
+in both directions, weighs their states by attention and gives one logit a window; a document's score is that of its highest
+window. Training takes a bounded sample of labelled documents (SAMPLE with the label, OTHERS without
 it, whole texts of at most SAMPLE_BYTES); inputs of a sampled document come from the other half of the sample, so the network
 doesn't learn from words that only that document has. Scoring takes every window of every whole text.
 
@@ -25,7 +27,13 @@ from .common import id_back, mix, windows8, with_ids
 
 WINDOW, STRIDE = 48, 24
 GRAMS = (4, 5)
-HIDDEN, ATTENTION, INPUTS = 6, 6, 5
+HIDDEN, ATTENTION = 6, 6
+#: Rows and width of the tables of vectors; inputs of a word: its signs and length, and a vector from each table.
+SLOTS, WIDTH = 4096, 4
+SIGNS = 5
+INPUTS = SIGNS + 2 * WIDTH
+#: How much more slowly the tables learn, and how far each step draws them back: they see few documents a row.
+TABLE_RATE, DECAY = 0.1, 0.01
 SAMPLE, OTHERS, SAMPLE_BYTES = 1200, 2400, 1 << 16
 EPOCHS, LEAST_STEPS, BATCH, RATE = 14, 250, 128, 0.02
 #: Windows of words without signs that training adds.
@@ -120,10 +128,10 @@ class Signs:
         return cls(hashes[keep], np.tanh(z[keep] / 8))
 
 
-def inputs(words: Words, signs: list[Signs]) -> np.ndarray:
-    """A row for each word: of the word, the highest and mean of its longer n-grams, the highest of its shorter, its length."""
+def signed(words: Words, signs: list[Signs]) -> np.ndarray:
+    """A row for each word: of the word, the highest and mean of its shorter n-grams, the highest of its longer, its length."""
     n = len(words.hashes)
-    x = np.zeros((n, INPUTS), np.float32)
+    x = np.zeros((n, SIGNS), np.float32)
     x[:, 0] = signs[0].of(words.hashes)
     for k, (g, of) in enumerate(words.grams):
         if len(of):
@@ -136,6 +144,43 @@ def inputs(words: Words, signs: list[Signs]) -> np.ndarray:
     return x
 
 
+@dataclass
+class Inputs:
+    """What enters of words on end: signs (a row each), the row of each word's vector, and those of its n-grams, from
+    first[i] to first[i + 1]."""
+
+    signs: np.ndarray
+    word: np.ndarray
+    gram: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, words: Words, signs: list[Signs]) -> Inputs:
+        slot = lambda h: (h >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int32)
+        g, of = words.grams[0]
+        return cls(signed(words, signs), slot(words.hashes), slot(g), np.searchsorted(of, np.arange(len(words.hashes) + 1)))
+
+    @classmethod
+    def joined(cls, parts: list[Inputs]) -> Inputs:
+        sizes = np.cumsum([0, *(len(p.gram) for p in parts)])
+        first = np.concatenate([*(p.first[:-1] + a for p, a in zip(parts, sizes.tolist())), sizes[-1:]])
+        return cls(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("signs", "word", "gram")), first)
+
+    def __len__(self) -> int:
+        return len(self.word)
+
+    def taken(self, at: np.ndarray) -> Inputs:
+        """The words at some places."""
+        many = self.first[at + 1] - self.first[at]
+        first = np.concatenate([[0], np.cumsum(many)])
+        return Inputs(self.signs[at], self.word[at], self.gram[np.arange(first[-1]) + np.repeat(self.first[at] - first[:-1], many)], first)
+
+    def unsigned(self) -> Inputs:
+        signs = self.signs.copy()
+        signs[:, :-1] = 0
+        return Inputs(signs, self.word, self.gram, self.first)
+
+
 def windows(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word and number of words of every window, and how many windows each text has; a text without words has one."""
     begins = np.concatenate([[0], ends[:-1]])
@@ -146,12 +191,11 @@ def windows(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, np.minimum(WINDOW, ends[of] - first), count
 
 
-def gathered(x: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs by step, window and feature, and a mask of the steps that have a word."""
+def placed(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words by step and window, and which steps have a word."""
     step = np.arange(WINDOW)[:, None]
     mask = step < size[None, :]
-    at = np.where(mask, first[None, :] + step, len(x))
-    return np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])[at], mask.astype(np.float32)[:, :, None]
+    return np.where(mask, first[None, :] + step, 0), mask
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -172,9 +216,25 @@ class Network:
         p["v"] = r.normal(0, 0.4, ATTENTION)
         p["o"] = r.normal(0, 0.4, 2 * HIDDEN)
         p["q"] = np.zeros(1)
+        p["words"], p["grams"] = np.zeros((SLOTS, WIDTH)), np.zeros((SLOTS, WIDTH))
         self.p = {k: v.astype(np.float32) for k, v in p.items()}
         self.shift = 0.0
 
+    def embedded(self, x: Inputs) -> np.ndarray:
+        """A row for each word."""
+        grams = np.zeros((len(x), WIDTH), np.float32)
+        many = np.diff(x.first)
+        some = np.flatnonzero(many)
+        if len(some):
+            grams[some] = np.add.reduceat(self.p["grams"][x.gram], x.first[some]) / many[some, None]
+        return np.concatenate([x.signs, self.p["words"][x.word], grams], 1)
+
+    def _table_gradients(self, x: Inputs, dx: np.ndarray) -> dict[str, np.ndarray]:
+        many = np.diff(x.first)
+        each = np.repeat(dx[:, SIGNS + WIDTH :] / np.maximum(many, 1)[:, None], many, axis=0)
+        add = lambda slot, by: np.stack([np.bincount(slot, by[:, k], SLOTS) for k in range(WIDTH)], 1).astype(np.float32)
+        return {"words": add(x.word, dx[:, SIGNS : SIGNS + WIDTH]), "grams": add(x.gram, each)}
+
     def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
         w, u, c, n = self.p["w" + d], self.p["u" + d], self.p["c" + d], HIDDEN
         inner = x @ w + c
@@ -214,6 +274,7 @@ class Network:
         g["v"] = (de[:, :, None] * s).sum((0, 1))
         g["a"] = np.einsum("tbi,tbj->ij", h, ds, optimize=True)
         dh = weight[:, :, None] * dc + ds @ p["a"].T
+        dx = tape["dx"] = np.zeros_like(x)
         for d, part, kept in (("f", dh[:, :, :n], tape["kf"]), ("b", dh[:, :, n:], tape["kb"])):
             u = p["u" + d]
             gw, gu, gc, back = np.zeros_like(p["w" + d]), np.zeros_like(u), np.zeros_like(p["c" + d]), 0
@@ -228,16 +289,17 @@ class Network:
                 gw += x[t].T @ inner
                 gu += before.T @ outer
                 gc += inner.sum(0)
+                dx[t] += inner @ p["w" + d].T
                 back = total - mask[t] * (1 - z) * total + outer @ u.T
             g["w" + d], g["u" + d], g["c" + d] = gw, gu, gc
         return g
 
-    def train(self, x: np.ndarray, first: np.ndarray, size: np.ndarray, count: np.ndarray, labels: np.ndarray, seed: int = 3) -> None:
+    def train(self, x: Inputs, first: np.ndarray, size: np.ndarray, count: np.ndarray, labels: np.ndarray, seed: int = 3) -> None:
         """Windows of documents; of a document with the label its highest window counts, of others all, chosen anew each epoch."""
         r = np.random.default_rng(seed)
         begin = np.cumsum(count) - count
         of = np.repeat(np.arange(len(labels)), count)
-        level = np.array([x[a : a + b, :3].max() if b else 0 for a, b in zip(first.tolist(), size.tolist())])
+        level = np.array([x.signs[a : a + b, :3].max() if b else 0 for a, b in zip(first.tolist(), size.tolist())])
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         step = 0
         clean = np.flatnonzero(labels[of] == 0)
@@ -249,21 +311,37 @@ class Network:
             y = (labels[of[chosen]] > 0).astype(np.float32)
             for at in np.array_split(r.permutation(len(chosen)), max(1, len(chosen) // BATCH)):
                 tape: dict = {}
-                z = self.logits(*gathered(x, first[chosen[at]], size[chosen[at]]), tape)
+                places, mask = placed(first[chosen[at]], size[chosen[at]])
+                used = x.taken(places[mask])
+                rows = np.zeros((*mask.shape, INPUTS), np.float32)
+                rows[mask] = self.embedded(used)
+                z = self.logits(rows, mask.astype(np.float32)[:, :, None], tape)
                 step += 1
-                for k, v in self.gradients(tape, ((_sigmoid(z) - y[at]) / len(at)).astype(np.float32)).items():
+                found = self.gradients(tape, ((_sigmoid(z) - y[at]) / len(at)).astype(np.float32))
+                for k, v in (found | self._table_gradients(used, tape["dx"][mask])).items():
                     a, b = moment[k]
                     a += 0.1 * (v - a)
                     b += 0.01 * (v * v - b)
-                    self.p[k] = (self.p[k] - RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                    table = k in ("words", "grams")
+                    rate = RATE * (TABLE_RATE if table else 1)
+                    kept = self.p[k] * (1 - rate * DECAY) if table else self.p[k]
+                    self.p[k] = (kept - rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
             if epoch % 3 == 2 or epoch == epochs - 1:
                 level = self.scores(x, first, size)
         best = np.maximum.reduceat(level, begin)
         self.shift = -_between(best, labels)
 
-    def scores(self, x: np.ndarray, first: np.ndarray, size: np.ndarray, block: int = 4096) -> np.ndarray:
-        """The logit of every window."""
-        return np.concatenate([self.logits(*gathered(x, first[a : a + block], size[a : a + block])) for a in range(0, len(first), block)])
+    def scores(self, x: Inputs, first: np.ndarray, size: np.ndarray, block: int = 4096) -> np.ndarray:
+        """The logit of every window; of a block's words the vectors are looked up once."""
+        out = []
+        for a in range(0, len(first), block):
+            places, mask = placed(first[a : a + block], size[a : a + block])
+            rows = np.zeros((*mask.shape, INPUTS), np.float32)
+            if mask.any():
+                low, high = int(places[mask].min()), int(places[mask].max()) + 1
+                rows[mask] = self.embedded(x.taken(np.arange(low, high)))[places[mask] - low]
+            out.append(self.logits(rows, mask.astype(np.float32)[:, :, None]))
+        return np.concatenate(out)
 
 
 def _between(logits: np.ndarray, labels: np.ndarray) -> float:
@@ -284,7 +362,7 @@ class Model:
     def score(self, texts: list[str]) -> np.ndarray:
         words = words_of(texts)
         first, size, count = windows(words.ends)
-        z = self.network.scores(inputs(words, self.signs), first, size)
+        z = self.network.scores(Inputs.of(words, self.signs), first, size)
         return _sigmoid(np.maximum.reduceat(z, np.cumsum(count) - count).astype(np.float64) + self.network.shift)
 
 
@@ -302,19 +380,24 @@ def fitted(texts: list[str], labels: np.ndarray) -> Model | None:
     half = np.zeros(len(docs), bool)
     for y in (0, 1):
         half[np.flatnonzero(labels == y)[::2]] = True
+    final = _learned_signs(docs, labels)
     x: list = [None] * len(docs)
     for side in (True, False):
         rest = np.flatnonzero(half != side)
         signs = _learned_signs([docs[i] for i in rest], labels[rest])
         for i in np.flatnonzero(half == side):
-            x[i] = inputs(docs[i], signs)
+            x[i] = Inputs.of(docs[i], signs)
+    del docs  # the driver's memory is small
+    sizes = [len(part) for part in x]
+    every = Inputs.joined(x)
+    del x
     # texts that say nothing: words without a sign, and no words at all, are clean
-    blank = np.concatenate(x)[: UNSIGNED * WINDOW].copy()
-    blank[:, :-1] = 0
-    parts = [*x, *np.array_split(blank, UNSIGNED), *([blank[:0]] * 4)]
+    blank = [every.taken(at).unsigned() for at in np.array_split(np.arange(min(len(every), UNSIGNED * WINDOW)), UNSIGNED)]
+    every = Inputs.joined([every, *blank])
+    ends = np.cumsum([*sizes, *(len(part) for part in blank), *[0] * 4])
     network = Network()
-    network.train(np.concatenate(parts), *windows(np.cumsum([len(p) for p in parts])), np.concatenate([labels, np.zeros(UNSIGNED + 4)]))
-    return Model(_learned_signs(docs, labels), network)
+    network.train(every, *windows(ends), np.concatenate([labels, np.zeros(UNSIGNED + 4)]))
+    return Model(final, network)
 
 
 def held_out(key: Column) -> Column:

@@ -181,7 +181,8 @@ def test_gradients():
     by = np.array([1.0, -0.7, 0.4], np.float32)
     tape = {}
     net.logits(x, mask, tape)
-    for k, g in net.gradients(tape, by).items():
+    found = net.gradients(tape, by)
+    for k, g in found.items():
         way = r.normal(size=g.shape).astype(np.float32)
         keep, ends = net.p[k], []
         for sign in (1, -1):
@@ -191,6 +192,36 @@ def test_gradients():
         assert abs((ends[0] - ends[1]) / 4e-2 - float((g * way).sum())) < 0.05 * max(0.2, abs(float((g * way).sum())))
 
 
+def test_gradients_of_vectors():
+    """Those of the words' and the n-grams' tables against differences; words without n-grams and repeated ones are among them."""
+    r = np.random.default_rng(1)
+    net = toxicity.Network()
+    words = toxicity.words_of(["one thing and another thing or so", "x"])
+    x = toxicity.Inputs.of(words, [toxicity.Signs(np.zeros(0, np.uint64), np.zeros(0))] * 3)
+    assert len(x) == 8 and x.word[1] == x.word[4] and len(x.gram) == x.first[-1] == 2 + 4 + 2
+    for k in ("words", "grams"):
+        net.p[k] = r.normal(size=net.p[k].shape).astype(np.float32)
+    places, mask = toxicity.placed(np.array([0, 7]), np.array([7, 1]))
+    by, used = np.array([1.0, -0.7], np.float32), x.taken(places[mask])
+
+    def logits(tape=None):
+        rows = np.zeros((*mask.shape, toxicity.INPUTS), np.float32)
+        rows[mask] = net.embedded(used)
+        return net.logits(rows, mask.astype(np.float32)[:, :, None], tape)
+
+    tape = {}
+    logits(tape)
+    net.gradients(tape, by)
+    for k, g in net._table_gradients(used, tape["dx"][mask]).items():
+        way = r.normal(size=g.shape).astype(np.float32)
+        keep, ends = net.p[k], []
+        for sign in (1, -1):
+            net.p[k] = keep + np.float32(sign * 2e-2) * way
+            ends.append(float((by * logits()).sum()))
+        net.p[k] = keep
+        assert np.abs(g).sum() > 0 and abs((ends[0] - ends[1]) / 4e-2 - float((g * way).sum())) < 0.05 * max(0.2, abs(float((g * way).sum())))
+
+
 def test_windows_cover_all_words():
     first, size, count = toxicity.windows(np.cumsum([0, 1, 48, 49, 500]))
     assert count.tolist() == [1, 1, 1, 2, 20] and size[0] == 0
