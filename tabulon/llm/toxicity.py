@@ -15,7 +15,10 @@ rows give repeated results; an empty table gives none. Only doc_id and text are
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 
 import numpy as np
@@ -421,9 +424,19 @@ def sampled(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
     return [r["text"] for r in rows], np.array([r["y"] for r in rows])
 
 
+def trained(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """Fits a model on the driver, and gives the memory that this took back to the system: the C library would keep it, some
+    200 MB, for as long as the driver lives."""
+    model = fitted(*sampled(docs, labels))
+    gc.collect()
+    with suppress(OSError, AttributeError):  # not every C library has this
+        ctypes.CDLL(None).malloc_trim(0)
+    return model
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of each document."""
-    held = docs.sparkSession.sparkContext.broadcast(fitted(*sampled(docs, labels)))
+    held = docs.sparkSession.sparkContext.broadcast(trained(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -439,7 +452,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with a score below 0.5, as they are."""
-    held = docs.sparkSession.sparkContext.broadcast(fitted(*sampled(docs, labels)))
+    held = docs.sparkSession.sparkContext.broadcast(trained(docs, labels))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
