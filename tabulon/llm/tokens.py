@@ -1,7 +1,9 @@
 """BPE encoding and decoding with public vocabularies, and reuse of what was encoded before.
 
-A worker keeps encoded units (what stands between blanks) and, for the word vocabulary, whole content-defined chunks in
-caches of bounded size. Caches only save time: an evicted entry is encoded again, with the same ids.
+Texts are cut into content-defined chunks. Those that occur twice or more often in the corpus are encoded once and joined to
+the blocks of documents that hold them; other chunks are encoded where they stand. Which may be shared is told by a Bloom
+filter of fixed size; where it errs, a chunk is sent for counting in vain, with the same result. A worker also keeps encoded
+units (what stands between blanks) in a cache of bounded size.
 """
 
 from __future__ import annotations
@@ -11,13 +13,16 @@ import hashlib
 import json
 import os
 import re
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import id_back, mix, windows8, with_ids
+from .common import id_back, mix, staged, windows8, with_ids
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -25,7 +30,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of a worker's caches, and the longest text kept in them.
 CACHED_UNITS, LONGEST_UNIT = 300_000, 48
-CACHED_CHUNK_BYTES = 48 << 20
+#: Bits of the filter that tells which chunks may be shared, and characters of a block of documents with such chunks.
+FILTER_BITS, BLOCK_CHARS = 1 << 26, 2 << 20
 _held: dict = {}
 
 
@@ -230,21 +236,37 @@ def chunk_ends(data: np.ndarray, ends: np.ndarray, bits: int = 10, width: int =
     return np.unique(np.concatenate([at, ends]))
 
 
+def chunked(texts: list[str]) -> tuple[bytes, list[list[tuple[bytes, int, int]]]]:
+    """The texts' bytes on end, and for each text its chunks: a 128-bit digest, start and end."""
+    raw = [x.encode() for x in texts]
+    ends = np.cumsum([len(x) for x in raw], dtype=np.int64)
+    data = b"".join(raw)
+    cuts = chunk_ends(np.frombuffer(data, np.uint8), ends).tolist()
+    out, at, k = [], 0, 0
+    for end in ends.tolist():
+        found = []
+        while at < end:
+            found.append((hashlib.blake2b(data[at : cuts[k]], digest_size=16).digest(), at, cuts[k]))
+            at, k = cuts[k], k + 1
+        out.append(found)
+        while k < len(cuts) and cuts[k] <= end:
+            k += 1
+    return data, out
+
+
 class WordCodec:
     """Encodes and decodes with a vocabulary that drops white space between words.
 
-    A chunk is encoded once: its whole units, those between its first and its last blank or newline. What stands before
-    and after is left to the joins: the tail of one chunk and the head of the next are encoded again as one text, which
-    takes in further chunks until it has a blank or newline on both sides. Beyond those nothing depends on the other side
-    (neither normal forms nor words nor special tokens go across them), so the ids agree exactly with the whole text's."""
+    A chunk is encoded once: its whole units, those between its first and its last blank or newline. A join of two chunks
+    is encoded again as one window, from the last whole unit before it to the first one after it, and over chunks without
+    a whole unit. The window's ids must begin and end with those that the chunks have for these two units; if they don't
+    agree, the window grows to the whole text."""
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer_of(path)
         self.names = {v: k for k, v in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self._prepare(path)
         self.units: dict[str, tuple[int, bytes, bytes]] = {}
-        self.chunks: dict[bytes, tuple] = {}
-        self.chunk_bytes = 0
 
     @classmethod
     def of(cls, path: str) -> WordCodec:
@@ -310,68 +332,74 @@ class WordCodec:
         self.units.update((u, e) for u, e in found.items() if len(u) <= LONGEST_UNIT)
         return found
 
-    def chunk(self, raw: bytes) -> tuple[list[str], str, str] | None:
-        """The units of a chunk, and its head and tail; None if it has no blank and no newline."""
-        units = raw.decode().replace("\n", " ").split(" ")
-        return (units[1:-1], units[0], units[-1]) if len(units) > 1 else None
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
-        """For each text: the number of ids, then pieces of the ids in decimal and of the decoded text, to be joined by blanks."""
-        raw = [x.encode() for x in texts]
-        ends = np.cumsum([len(x) for x in raw])
-        data = b"".join(raw)
-        cuts = chunk_ends(np.frombuffer(data, np.uint8), ends).tolist()
-        plans: list[list] = []  # for each text: keys of chunks (bytes) and of joins (str)
-        new: dict[bytes, tuple] = {}
-        at, k = 0, 0
-        for end in ends.tolist():
-            plan, pending = [], ""
-            while at < end:
-                key = data[at : cuts[k]]
-                at, k = cuts[k], k + 1
-                known = self.chunks.get(key) or new.get(key)
-                if known is None:
-                    parts = self.chunk(key)
-                    known = new[key] = (None, key.decode(), None) if parts is None else (parts[0], parts[1], parts[2])
-                if known[2] is None:
-                    pending += known[1]
-                    continue
-                plan += [pending + known[1], key]
-                pending = known[2]
-            plan.append(pending)
-            plans.append(plan)
-            while k < len(cuts) and cuts[k] <= end:
-                k += 1
-        wanted = {u for units, *_ in new.values() if units for u in units}
-        wanted.update(x for plan in plans for x in plan if isinstance(x, str))
-        wanted.discard("")
-        extra = self.learn(wanted)
-        units = self.units
-        for key, (parts, head, tail) in new.items():
-            entries = [units.get(u) or extra[u] for u in parts or () if u]
-            entries = [e for e in entries if e[0]]
-            new[key] = (parts is not None and (sum(e[0] for e in entries), b" ".join([e[1] for e in entries]), b" ".join([e[2] for e in entries])), head, tail)
+    def entries(self, chunks: dict[bytes, str]) -> dict[bytes, tuple | None]:
+        """For each chunk: what its whole units give, its head and tail up to a whole unit each, and how many ids these two units
+        have. None for a chunk without a whole unit: it belongs to the joins on its sides."""
+        split = {}
+        for key, text in chunks.items():
+            units = text.replace("\n", " ").split(" ")
+            inner = units[1:-1]
+            shown = [i for i, u in enumerate(inner) if u]
+            if shown:
+                a, b = shown[0], shown[-1]
+                # all blanks before the first whole unit and after the last belong to the windows of the joins
+                head = text[: len(units[0]) + a + 1 + len(inner[a])]
+                tail = text[len(text) - len(units[-1]) - (len(inner) - b) - len(inner[b]) :]
+                split[key] = ([inner[i] for i in shown], head, tail)
+        extra = self.learn({u for units, *_ in split.values() for u in units})
+        out: dict[bytes, tuple | None] = dict.fromkeys(chunks)
+        for key, (units, head, tail) in split.items():
+            found = [self.units.get(u) or extra[u] for u in units]
+            full = [e for e in found if e[0]]
+            inner = sum(e[0] for e in full), b" ".join([e[1] for e in full]), b" ".join([e[2] for e in full])
+            out[key] = (inner, head, tail, found[0][0], found[-1][0])
+        return out
+
+    def encode(self, texts: list[str], known: dict[bytes, tuple] | None = None) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
+        """For each text: the number of ids, then pieces of the ids in decimal and of the decoded text, to be joined by blanks.
+
+        known: entries of chunks that were encoded before, by their digests."""
+        known = known or {}
+        data, plans = chunked(texts)
+        made = self.entries({key: data[a:b].decode() for plan in plans for key, a, b in plan if key not in known})
+        windows: list[str] = []
+        jobs = []
         for plan in plans:
-            n, ids, decoded = 0, [], []
-            for x in plan:
-                if isinstance(x, str):
-                    if not x:
-                        continue
-                    e = units.get(x) or extra[x]
-                else:
-                    e = (new.get(x) or self.chunks[x])[0]
-                if e[0]:
+            job, pending, left = [], "", []
+            for key, a, b in plan:
+                entry = known.get(key) or made[key]
+                if entry is None:
+                    pending += data[a:b].decode()
+                    continue
+                inner, head, tail, first, last = entry
+                ids = inner[1].split(b" ", first)[:first]
+                job.append((len(windows), left, [int(x) for x in ids], inner))
+                windows.append(pending + head)
+                pending, left = tail, [int(x) for x in inner[1].rsplit(b" ", last)[-last:]] if last else []
+            job.append((len(windows), left, [], None))
+            windows.append(pending)
+            jobs.append(job)
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(windows, add_special_tokens=False)]
+        for text, job in zip(texts, jobs):
+            yield self._joined(job, found) or self._apart(self._entry(self.tokenizer.encode(text, add_special_tokens=False).ids))
+
+    def _apart(self, entry: tuple[int, bytes, bytes]) -> tuple[int, list[bytes], list[bytes]]:
+        return entry[0], [entry[1]] if entry[0] else [], [entry[2]] if entry[0] else []
+
+    def _joined(self, job: list, found: list[list[int]]) -> tuple[int, list[bytes], list[bytes]] | None:
+        """Chunks and repaired joins on end; None if a join's ids don't agree with those of the chunks on its sides."""
+        n, ids, decoded = 0, [], []
+        for at, left, right, inner in job:
+            got = found[at]
+            end = len(got) - len(right)
+            if end < len(left) or got[: len(left)] != left or got[end:] != right:
+                return None
+            for e in (self._entry(got[len(left) : end]), inner):
+                if e and e[0]:
                     n += e[0]
                     ids.append(e[1])
                     decoded.append(e[2])
-            yield n, ids, decoded
-        for key, entry in new.items():
-            size = 3 * len(key) + 400
-            if self.chunk_bytes + size > CACHED_CHUNK_BYTES:
-                self.chunks.clear()
-                self.chunk_bytes = 0
-            self.chunks[key] = entry
-            self.chunk_bytes += size
+        return n, ids, decoded
 
 
 def codec(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -391,15 +419,114 @@ def codec_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     return _run(docs, tokenizer, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda n, ids, decoded: (n, _digest(ids), _digest(decoded)))
 
 
+def _halves(keys: list[bytes]) -> np.ndarray:
+    """Digests as two numbers each."""
+    return np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
+def _chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        counts = Counter(key for plan in chunked(batch.column(1).to_pylist())[1] for key, *_ in plan)
+        keys = _halves(list(counts))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(list(counts.values()), pa.int64())], names=["a", "b", "n"])
+
+
+def shared_filter(docs: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS bits, whatever the number of rows, over the chunks that occur twice or more often."""
+    often = docs.mapInArrow(_chunk_counts, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1")
+    bits = often.select(F.explode(F.array(*(F.pmod(x, F.lit(FILTER_BITS)) for x in ("a", "b")))).alias("bit"))
+    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS >> 6, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
+def _may_be_shared(bits: np.ndarray, keys: list[bytes]) -> np.ndarray:
+    at = _halves(keys) & (FILTER_BITS - 1)
+    return ((bits[at >> 6] >> (at & 63)) & 1).all(1)
+
+
 def _run(docs: DataFrame, tokenizer: str, schema: str, make) -> DataFrame:
-    names = [x.split()[0] for x in schema.split(", ")]
+    """Documents without a shared chunk are encoded where they stand. The others are written in blocks; their shared chunks are
+    encoded once each and joined to the blocks that hold them, once a block."""
+    import zstandard
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in schema.split(", ")]
+    docs = with_ids(docs)
+    held = docs.sparkSession.sparkContext.broadcast(shared_filter(docs))
+    types = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), (names[2], pa.string()), (names[3], pa.string()), ("block", pa.int64()), ("packed", pa.binary()), ("keys", pa.binary())])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, press, block, size = WordCodec.of(tokenizer), zstandard.ZstdCompressor(), None, 0
+        for batch in _slices(batches):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out, alone = [], []
+            plans = chunked(texts)[1]
+            marks = _may_be_shared(held.value, [key for plan in plans for key, *_ in plan]).tolist()
+            at = 0
+            for doc_id, text, plan in zip(ids, texts, plans):
+                wanted = {key for (key, *_), mark in zip(plan, marks[at : at + len(plan)]) if mark}
+                at += len(plan)
+                if not wanted:
+                    alone.append((doc_id, text))
+                    continue
+                if block is None or size > BLOCK_CHARS:
+                    block, size = uuid.uuid4().int >> 65, 0
+                size += len(text)
+                out.append((doc_id, None, None, None, block, press.compress(text.encode()), b"".join(wanted)))
+            out += [(doc_id, *make(*x), None, None, None) for (doc_id, _), x in zip(alone, words.encode([t for _, t in alone]))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types.types)], schema=types)
+
+    def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor()
+        for batch in _slices(batches):
+            counts, found = Counter(), {}
+            for packed, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                wanted = {keys[i : i + 16] for i in range(0, len(keys), 16)}
+                data, (plan,) = chunked([unpress.decompress(packed).decode()])
+                counts.update(key for key, *_ in plan if key in wanted)
+                found.update((key, data[a:b]) for key, a, b in plan if key in wanted)
+            keys = _halves(list(counts))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(list(counts.values()), pa.int64()), pa.array([found[k].decode() for k in counts], pa.string())], names=["a", "b", "n", "text"])
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordCodec.of(tokenizer)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = [make(*x) for x in words.encode(batch.column(1).slice(at, 256).to_pylist())]
-                n, *rest = zip(*rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in rest)], names=names)
-
-    return with_ids(docs).mapInArrow(run, schema).select(id_back(), *names[1:])
+        for batch in _slices(batches):
+            made = words.entries(dict(enumerate(batch.column(2).to_pylist())))
+            rows = [(i, np.array(e[0][1].split(), np.int32).tobytes(), *e[1:]) for i, e in made.items() if e]
+            if rows:
+                at, *rest = zip(*rows)
+                kinds = [pa.binary(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), *(pa.array(x, t) for x, t in zip(rest, kinds))], names=["a", "b", "ids", "head", "tail", "first", "last"])
+
+    def references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            wanted = {(block, keys[i : i + 16]) for block, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i in range(0, len(keys), 16)}
+            blocks, keys = zip(*wanted)
+            keys = _halves(list(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["block", "a", "b"])
+
+    def second(left: pa.Table, right: pa.Table) -> pa.Table:
+        words, unpress, known = WordCodec.of(tokenizer), zstandard.ZstdDecompressor(), {}
+        for r in left.to_pylist():
+            ids = np.frombuffer(r["ids"], np.int32).tolist()
+            known[np.array([r["a"], r["b"]], np.int64).tobytes()] = (words._entry(ids), r["head"], r["tail"], r["first"], r["last"])
+        texts = [unpress.decompress(x).decode() for x in right["packed"].to_pylist()]
+        rows = [make(*x) for at in range(0, len(texts), 64) for x in words.encode(texts[at : at + 64], known)]
+        return pa.table([right["doc_id"], *(pa.array([r[i] for r in rows], types.types[i + 1]) for i in range(3))], names=names)
+
+    done = staged(docs.mapInArrow(first, f"{schema}, block long, packed binary, keys binary"), "codec")
+    blocks = done.where("block IS NOT NULL")
+    texts = blocks.select("packed", "keys").mapInArrow(texts_of, "a long, b long, n long, text string")
+    once = texts.groupBy("a", "b").agg(F.first("text").alias("text"), F.sum("n").alias("n")).where("n > 1").select("a", "b", "text")
+    chunks = staged(once.mapInArrow(encoded, "a long, b long, ids binary, head string, tail string, first int, last int"), "chunks")
+    wanted = blocks.select("block", "keys").mapInArrow(references, "block long, a long, b long").distinct()
+    sent = wanted.join(chunks, ["a", "b"])
+    rest = sent.groupBy("block").cogroup(blocks.select("doc_id", "block", "packed").groupBy("block")).applyInArrow(second, schema)
+    return done.where("block IS NULL").select(*names).unionByName(rest).select(id_back(), *names[1:])

@@ -113,6 +113,32 @@ def test_encoders_agree_with_the_library(texts):
         assert (n, b" ".join(ids).decode(), b" ".join(decoded).decode()) == (len(e), " ".join(map(str, e)), whole.decode(e, skip_special_tokens=False))
 
 
+def test_chunks_that_documents_share_are_encoded_once(spark):
+    import random
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice(["ba", "ko", "mé", "İx", "漢", "don't", "42", "<|endoftext|>", ""]) for _ in range(r.randint(0, 4)))
+    say = lambda k: "".join(word() + r.choice([" ", " ", "\n", "  "]) for _ in range(k))
+    common = [say(900) for _ in range(3)]
+    texts = [say(r.randint(0, 400)) + r.choice(common)[r.randint(0, 50) :] + say(r.randint(0, 400)) for _ in range(30)]
+    texts += [texts[0], texts[0], common[1], say(3000), "x" * 5000, "x" * 5000, "a " * 9000, "a " * 9000, None, ""]
+    t = tokens.tokenizer_of(vocabulary(WORDS))
+    expected = []
+    for i, x in enumerate(texts):
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        expected.append((i, len(ids), " ".join(map(str, ids)), t.decode(ids, skip_special_tokens=False)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert got(tokens.codec(df, vocabulary(WORDS)), "doc_id", "n_tokens", "ids", "decoded") == sorted(expected, key=repr)
+    # with every chunk known, only windows are encoded; a wrong neighbour is noticed and the whole text encoded
+    words = tokens.WordCodec.of(vocabulary(WORDS))
+    whole = [x for x in texts if x]
+    data, plans = tokens.chunked(whole)
+    made = {k: v for k, v in words.entries({key: data[a:b].decode() for plan in plans for key, a, b in plan}).items() if v}
+    assert made and [x[0] for x in words.encode(whole, made)] == [e[1] for e in expected if e[1]]
+    wrong = {k: ((n, b"9 " * (n - 1) + b"9", d), *rest) for k, ((n, _, d), *rest) in made.items()}
+    assert [b" ".join(x[1]).decode() for x in words.encode(whole, wrong)] == [e[2] for e in expected if e[1]]
+
+
 def test_codec(docs, rows):
     t = tokens.tokenizer_of(vocabulary(WORDS))
     expected = []
