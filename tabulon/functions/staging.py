@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,13 +29,19 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def put_blocks(spark: SparkSession, path: str, blocks: Iterable[bytes]) -> None:
+    """Blocks on end as one file, through the file system that holds the path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    for block in blocks:
+        out.write(bytearray(block))
+    out.close()
+
+
 def written_text(spark: SparkSession, name: str, text: str) -> str:
     """A text as a file of its own folder in the shared one, through the file system that holds it; gives its path."""
     folder = f"{shared_folder(spark)}/tabulon/file-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
-    out.write(bytearray(text.encode()))
-    out.close()
+    put_blocks(spark, f"{folder}/{name}", [text.encode()])
     atexit.register(_drop, spark, folder)
     return f"{folder}/{name}"
 

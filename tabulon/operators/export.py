@@ -14,8 +14,9 @@ from typing import BinaryIO, Protocol
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tabulon.functions.staging import put_blocks
 from tabulon.functions.text import csv_field, csv_value, tsv_field, tsv_value
-from tabulon.sources.files import FileBytes
+from tabulon.sources.files import FileBytes, files_of
 from tabulon.sources.layout import DATA_END, Layout
 
 from .predicates import Filters
@@ -163,10 +164,33 @@ def export(table: TextTable, order: list[Column], form: Format, out: BinaryIO, m
 
 
 def export_parts(table: TextTable, order: list[Column], form: Format, folder: str) -> None:
-    """The rows' lines as part files that are in order by name, written by Spark's tasks; header and trailer aren't in them."""
-    ends = F.regexp_replace(form.line(table), r"\r?\n\z", "")
-    sep = {"Csv": "\r\n", "Dif": table.layout.line_end if table.layout else "\n"}.get(type(form).__name__, "\n")
-    table.df.repartitionByRange(*order).sortWithinPartitions(*order).select(ends.alias("line")).write.option("lineSep", sep).text(folder)
+    """The rows' lines as part files written by Spark's tasks, between the files "head" and "tail"; in order by name.
+
+    Without a separator between rows the files on end are the bytes of export(). JSON has one object a line, head and tail
+    left out, as only whole lines can be made apart from each other."""
+    sep = form.layout.line_end if isinstance(form, Dif) else "\n" if isinstance(form, Tsv | Json) else "\r\n"
+    line = form.line(table)
+    line = line if form.between() else line.substr(F.lit(1), F.length(line) - len(sep))
+    table.df.repartitionByRange(*order).sortWithinPartitions(*order).select(line.alias("line")).write.option("lineSep", sep).text(folder)
+    if not form.between():
+        spark = table.df.sparkSession
+        put_blocks(spark, f"{folder}/head", form.begin())
+        put_blocks(spark, f"{folder}/tail", form.end(0))
+
+
+def joined_parts(folder: str, out: BinaryIO) -> None:
+    """The files of export_parts on end, copied in blocks."""
+
+    def place(name: str) -> tuple:
+        number = re.match(r"part-(\d+)", name)
+        return (1, int(number[1])) if number else (0 if name == "head" else 2, 0)
+
+    for name in sorted(files_of(folder), key=place):
+        with FileBytes(f"{folder}/{name}") as f:
+            at = 0
+            while block := f.read(at, COPIED):
+                out.write(block)
+                at += len(block)
 
 
 def preview(table: TextTable, order: list[Column], form: Format) -> bytes:

@@ -9,10 +9,11 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.sources.files import exists
 from tabulon.sources.layout import Layout, read_layout
 
 from .ordering import Sorted, positions, without_keys
-from .overlay import Overlay
+from .overlay import Overlay, Recovery, drop_recovery, load_recoveries, save_recovery
 from .predicates import Filters, Query, highlighted, moved
 from .stats import Statistics, distinct_excluding_own
 from .table import ORDER, TextTable
@@ -20,6 +21,8 @@ from .table import ORDER, TextTable
 DEFAULT_PAGE = 20
 # The page sizes on offer; 0 fits the window, -1 is all rows.
 PAGE_SIZES = (0, 50, 100, 250, 500, 1000, 5000, -1)
+# Fixed value: seconds between saves of what can be recovered.
+SAVED_EVERY = 20
 
 
 def page_setting(setting: int | None) -> int:
@@ -188,10 +191,14 @@ class View:
 
 
 class Session:
-    """Open files and their sections; a section's view and edits are made when it is first shown."""
+    """Open files and their sections; a section's view and edits are made when it is first shown.
 
-    def __init__(self, spark):
+    With a folder for recoveries, edits of the sections' views can be saved and come back in another session. Extracts have
+    views of their own that aren't the session's, so they are never saved."""
+
+    def __init__(self, spark, recoveries: str | None = None):
         self.spark, self.layouts, self.views = spark, {}, {}
+        self.recoveries, self.saved_at, self.kept = recoveries, None, set()
 
     def open(self, path: str) -> Layout:
         if path not in self.layouts:
@@ -212,3 +219,48 @@ class Session:
 
     def has_edits(self) -> bool:
         return any(not v.overlay.is_empty for v in self.views.values())
+
+    def save(self) -> int:
+        """Saves the edits of each section that has some, and gives their number. Of others it drops what this session saved or
+        opened again, never what an earlier one left."""
+        if self.recoveries is None:
+            return 0
+        done = 0
+        for (path, section), v in self.views.items():
+            if not v.overlay.is_empty:
+                save_recovery(self.recoveries, path, section, v.overlay)
+                self.kept.add((path, section))
+                done += 1
+            elif (path, section) in self.kept:
+                drop_recovery(self.recoveries, path, section)
+                self.kept.remove((path, section))
+        return done
+
+    def save_if_due(self, now: float) -> bool:
+        """Saves when SAVED_EVERY seconds have gone by since the last save; now: seconds of any steady clock."""
+        if self.saved_at is not None and now - self.saved_at < SAVED_EVERY:
+            return False
+        self.saved_at = now
+        return self.save() > 0
+
+    def recoverable(self) -> list[Recovery]:
+        """What was saved of files that are still there, the latest first."""
+        found = load_recoveries(self.recoveries) if self.recoveries else []
+        return sorted((r for r in found if exists(r.path)), key=lambda r: r.saved, reverse=True)
+
+    def reopen(self, record: Recovery) -> View | None:
+        """The section's view with the saved edits; None if the file no longer has that section."""
+        layout = self.open(record.path)
+        if not layout.valid or not 0 <= record.section < len(layout.sections):
+            return None
+        v = self.view(record.path, record.section)
+        v.overlay, v.page, v.counted = Overlay.of(record.overlay), 0, None
+        self.kept.add((record.path, record.section))
+        return v
+
+    def close(self, path: str, section: int = 0) -> None:
+        """Forgets a section's view and what was saved of it."""
+        self.views.pop((path, section), None)
+        if self.recoveries is not None:
+            drop_recovery(self.recoveries, path, section)
+        self.kept.discard((path, section))

@@ -28,6 +28,29 @@ def size_of(path: str) -> int:
     return store.get_file_info(inner).size
 
 
+def exists(path: str) -> bool:
+    """Whether there is a file; a store that can't be reached has none."""
+    try:
+        if (here := local(path)) is not None:
+            return os.path.isfile(here)
+        store, inner = _store(path)
+        return store.get_file_info(inner).is_file
+    except (OSError, ValueError):
+        return False
+
+
+def files_of(folder: str) -> list[str]:
+    """Names of a folder's files, but for hidden ones."""
+    if (here := local(folder)) is not None:
+        names = [x.name for x in os.scandir(here) if x.is_file()]
+    else:
+        from pyarrow import fs
+
+        store, inner = _store(folder)
+        names = [x.base_name for x in store.get_file_info(fs.FileSelector(inner)) if x.is_file]
+    return sorted(x for x in names if x[0] not in "._")
+
+
 class FileBytes:
     """Positional reads."""
 

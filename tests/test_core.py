@@ -262,3 +262,36 @@ def test_structural_edits_go_to_the_first_page(prices):
     assert v.count() == 3
     v = v.edited(lambda o: o.delete(0))
     assert v.page == 0 and v.count() == 2 and View(prices, v.overlay, page=1).edited(Overlay.undo).count() == 3
+
+
+def test_parts_on_end_are_the_export(spark, tmp_path):
+    path = put(tmp_path, CLASSIC)
+    t = TextTable.open(spark, path)
+    big = TextTable.from_dataframe(spark.range(5000).selectExpr("id k", "concat('a,', id, '\\t') x"), "k")
+    for table, names in ((t, ("dif", "csv", "tsv")), (big, ("csv", "tsv")), (big.having(big.df.limit(0)), ("csv",))):
+        t2, order = Sorted().by(table.names[-1], True).prepared(table)
+        for name in names:
+            whole, parts, folder = io.BytesIO(), io.BytesIO(), str(tmp_path / f"parts-{name}-{id(table)}")
+            X.export(t2, order, X.format_of(name, t2), whole)
+            X.export_parts(t2, order, X.format_of(name, t2), folder)
+            X.joined_parts(folder, parts)
+            assert parts.getvalue() == whole.getvalue() and whole.getvalue(), name
+
+
+def test_recovery_in_sessions(spark, tmp_path):
+    path, folder = put(tmp_path, BULK), str(tmp_path / "saved")
+    s = Session(spark, folder)
+    s.split(path)[1].overlay.edit(0, 0, "q")
+    assert s.save_if_due(100.0) and not s.save_if_due(110.0) and s.save_if_due(120.0)
+    other = Session(spark, folder)
+    assert other.view(path, 1).overlay.is_empty and other.save() == 0
+    (record,) = other.recoverable()
+    v = other.reopen(record)
+    assert (record.path, record.section) == (path, 1) and v is other.view(path, 1) and v.overlay.edits == s.view(path, 1).overlay.edits
+    v.overlay.undo() or v.overlay.edits.clear()
+    assert v.overlay.is_empty and other.save() == 0 and other.recoverable() == []
+    s.save()
+    record.section = 9
+    assert other.reopen(record) is None
+    s.close(path, 1)
+    assert s.recoverable() == [] and Session(spark).save() == 0
