@@ -119,3 +119,28 @@ def test_empty_data_and_delimiters(spark, tmp_path):
 def test_markers_and_bulk_names():
     assert is_marker(b"END-OF-DATA (3)", b"END-OF-DATA") and not is_marker(b"END-OF-FIELDS_X", b"END-OF-FIELDS")
     assert suggests_bulk(r"C:\x\My_BULK.dif", b"") and not suggests_bulk("/bulk/a.dif", b"START-OF-FIELDS\n")
+
+
+def test_lines_of_any_chunks(tmp_path, monkeypatch):
+    """Chunks of any size give the lines that splitting all bytes gives, invalid bytes and lines over several blocks included."""
+    import random
+
+    from tabulon.sources import datasource
+
+    r = random.Random(3)
+    for batch in (7, 1 << 20):
+        monkeypatch.setattr(datasource, "BATCH", batch)
+        for _ in range(60):
+            raw = b"".join(r.choice([b"a", b"\n", b"\r", b"\r\n", "é漢".encode(), b"\xc3", b"\xa9", b"|", b"long line "]) for _ in range(r.randint(0, 60)))
+            path = tmp_path / "x"
+            path.write_bytes(b"head\n" + raw)
+            expected, where = [], 5
+            for line in raw.split(b"\n"):
+                kept = line[:-1] if line.endswith(b"\r") else line
+                if kept:
+                    expected.append((where, kept.decode("utf-8", "replace")))
+                where += len(line) + 1
+            for chunk in (1, 3, 16, 1000):
+                reader = datasource.SectionReader({"path": str(path), "start": 5, "end": 5 + len(raw), "chunkbytes": chunk})
+                rows = [x for p in reader.partitions() for b in reader.read(p) for x in b.to_pylist()]
+                assert [(x["off"], x["raw"]) for x in rows] == expected, (raw, chunk, batch)
