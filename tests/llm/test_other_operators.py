@@ -172,6 +172,41 @@ def test_few_vectors(spark, n):
     assert dict(got) == ({} if n < 2 else nearest(vectors, 20, 20))
 
 
+def test_cells_of_large_tables_are_small():
+    """The number of cells grows with the table, so that a query's work per row does not."""
+    for n in (100_000, 1_000_000, 15_000_000, 75_000_000):
+        cells = ann.Cells(n, 64, 1.0)
+        shards = max(ann.LEAST_SHARDS, 2**cells.prefix)
+        assert n / shards / 2 ** (cells.m - cells.prefix) <= 2 * ann.CELL and n / shards <= ann.SHARD
+
+
+def test_nearest_neighbours_in_many_shards(spark, monkeypatch):
+    """Shards by projections, one side much fuller than the others, large groups of copies, queries that are far from all else."""
+    monkeypatch.setattr(ann, "SHARD", 500)
+    monkeypatch.setattr(ann, "CELL", 16)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(9000, 24)) * r.choice([0.5, 1, 2], (9000, 1))
+    x[:3000] += 2
+    x[3000:5000] = x[3000]
+    x[8980:] = -x[:20] * 1e-3
+    x = x.astype(np.float32)
+    order = r.permutation(len(x)).tolist()
+    vectors = [(i, x[at].tolist()) for i, at in enumerate(order)]
+    assert ann.Cells(len(x), 24, 1.0).prefix > 3
+    out = ann.search(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), k=10).collect()
+    got = defaultdict(list)
+    for y in sorted(out, key=lambda y: (y["query_id"], y["rank"])):
+        got[y["query_id"]].append((y["vec_id"], y["score"]))
+    want = nearest(vectors, 20, 10)
+    assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
+    at = {i: np.array(v) for i, v in vectors}
+    for q, found in got.items():
+        assert all(abs(s - float(at[q] @ at[i])) < 1e-9 for i, s in found) and found == sorted(found, key=lambda y: (-y[1], y[0]))
+    near = lambda q, i, last: float(at[q] @ at[i]) >= last - 1e-9  # noqa: E731 - copies are as good
+    hits = sum(near(q, i, float(at[q] @ at[want[q][-1]])) for q, found in got.items() for i, _ in found)
+    assert hits >= 0.9 * 10 * len(want)
+
+
 def test_gradients():
     """The network's gradients against differences, for every parameter."""
     r = np.random.default_rng(0)
