@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import suppress
 from dataclasses import dataclass
 
@@ -33,6 +33,7 @@ GRAMS = (4, 5)
 HIDDEN, ATTENTION = 6, 6
 #: Rows and width of the tables of vectors; inputs of a word: its signs and length, and a vector from each table.
 SLOTS, WIDTH = 4096, 4
+SLOT = np.min_scalar_type(SLOTS - 1)
 SIGNS = 5
 INPUTS = SIGNS + 2 * WIDTH
 #: How much more slowly the tables learn, and how far each step draws them back: they see few documents a row.
@@ -44,6 +45,8 @@ UNSIGNED = 60
 #: Features with a smaller deviation than this say nothing.
 LEAST = 2.5
 SLOT_BITS = 18
+#: Ranges of hashes that are counted one after the other.
+RANGES = 8
 FOLDS = 5
 
 
@@ -119,16 +122,21 @@ class Signs:
 
     @classmethod
     def learned(cls, parts: list[np.ndarray], labels: np.ndarray) -> Signs:
-        """parts: the distinct features of each document. By how many deviations a feature goes with the label, squashed."""
-        if not parts or not sum(map(len, parts)):
-            return cls(np.zeros(0, np.uint64), np.zeros(0))
-        hashes, back = np.unique(np.concatenate(parts), return_inverse=True)
-        with_label = np.bincount(back, np.repeat(labels, [len(x) for x in parts]), len(hashes))
-        every = np.bincount(back, minlength=len(hashes))
-        p = labels.mean()
-        z = (with_label - every * p) / np.sqrt(every * p * (1 - p) + 1)
-        keep = np.abs(z) >= LEAST
-        return cls(hashes[keep], np.tanh(z[keep] / 8))
+        """parts: the distinct features of each document, in order. By how many deviations a feature goes with the label,
+        squashed. Ranges of features are counted one after the other, so sorting takes a share of their size."""
+        kept, p = [(np.zeros(0, np.uint64), np.zeros(0))], labels.mean() if len(labels) else 0
+        for low in range(RANGES):
+            edges = np.array([low, low + 1], np.uint64) << np.uint64(64 - RANGES.bit_length() + 1)
+            cuts = [(np.searchsorted(x, edges[0]), np.searchsorted(x, edges[1]) if low + 1 < RANGES else len(x)) for x in parts]
+            if not sum(z - a for a, z in cuts):
+                continue
+            hashes, back = np.unique(np.concatenate([x[a:z] for x, (a, z) in zip(parts, cuts)]), return_inverse=True)
+            with_label = np.bincount(back, np.repeat(labels, [z - a for a, z in cuts]), len(hashes))
+            every = np.bincount(back, minlength=len(hashes))
+            z = (with_label - every * p) / np.sqrt(every * p * (1 - p) + 1)
+            keep = np.abs(z) >= LEAST
+            kept.append((hashes[keep], np.tanh(z[keep] / 8)))
+        return cls(*(np.concatenate(x) for x in zip(*kept)))
 
 
 def signed(words: Words, signs: list[Signs]) -> np.ndarray:
@@ -159,15 +167,20 @@ class Inputs:
 
     @classmethod
     def of(cls, words: Words, signs: list[Signs]) -> Inputs:
-        slot = lambda h: (h >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int32)
+        slot = lambda h: (h >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(SLOT)
         g, of = words.grams[0]
         return cls(signed(words, signs), slot(words.hashes), slot(g), np.searchsorted(of, np.arange(len(words.hashes) + 1)))
 
     @classmethod
-    def joined(cls, parts: list[Inputs]) -> Inputs:
-        sizes = np.cumsum([0, *(len(p.gram) for p in parts)])
-        first = np.concatenate([*(p.first[:-1] + a for p, a in zip(parts, sizes.tolist())), sizes[-1:]])
-        return cls(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("signs", "word", "gram")), first)
+    def joined(cls, parts: Iterable[Inputs], words: int, grams: int) -> Inputs:
+        """Parts that have at most so many words and n-grams together, each copied as it comes."""
+        out = cls(np.empty((words, SIGNS), np.float32), np.empty(words, SLOT), np.empty(grams, SLOT), np.zeros(words + 1, np.int32))
+        w = g = 0
+        for part in parts:
+            w2, g2 = w + len(part), g + len(part.gram)
+            out.signs[w:w2], out.word[w:w2], out.gram[g:g2], out.first[w + 1 : w2 + 1] = part.signs, part.word, part.gram, part.first[1:] + g
+            w, g = w2, g2
+        return cls(out.signs[:w], out.word[:w], out.gram[:g], out.first[: w + 1])
 
     def __len__(self) -> int:
         return len(self.word)
@@ -330,7 +343,7 @@ class Network:
                     kept = self.p[k] * (1 - rate * DECAY) if table else self.p[k]
                     self.p[k] = (kept - rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
             if epoch % 3 == 2 or epoch == epochs - 1:
-                level = self.scores(x, first, size)
+                level = self.scores(x, first, size, 1024)
         best = np.maximum.reduceat(level, begin)
         self.shift = -_between(best, labels)
 
@@ -369,34 +382,50 @@ class Model:
         return _sigmoid(np.maximum.reduceat(z, np.cumsum(count) - count).astype(np.float64) + self.network.shift)
 
 
-def _learned_signs(docs: list[Words], labels: np.ndarray) -> list[Signs]:
-    parts = [lambda w: w.hashes, *(lambda w, k=k: w.grams[k][0] for k in range(len(GRAMS)))]
-    return [Signs.learned([np.unique(f(w)) for w in docs], labels) for f in parts]
+def _give_back() -> None:
+    """Free memory goes back to the system: the C library would keep it for as long as the process lives."""
+    gc.collect()
+    with suppress(OSError, AttributeError):  # not every C library has this
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def fitted(texts: list[str], labels: np.ndarray) -> Model | None:
-    """A model of labelled texts; None if one of the labels is missing."""
+    """A model of labelled texts; None if one of the labels is missing. Memory of the driver is small: words are found anew
+    for each kind of feature and for the inputs, and never kept for all texts."""
     labels = np.asarray(labels, np.float64)
     if not 0 < labels.sum() < len(labels):
         return None
-    docs = [words_of([x]) for x in texts]
-    half = np.zeros(len(docs), bool)
+    half = np.zeros(len(texts), bool)
     for y in (0, 1):
         half[np.flatnonzero(labels == y)[::2]] = True
-    final = _learned_signs(docs, labels)
-    x: list = [None] * len(docs)
-    for side in (True, False):
-        rest = np.flatnonzero(half != side)
-        signs = _learned_signs([docs[i] for i in rest], labels[rest])
-        for i in np.flatnonzero(half == side):
-            x[i] = Inputs.of(docs[i], signs)
-    del docs  # the driver's memory is small
-    sizes = [len(part) for part in x]
-    every = Inputs.joined(x)
-    del x
+    final, by_side = [], {True: [], False: []}
+    for kind in (lambda w: w.hashes, *(lambda w, k=k: w.grams[k][0] for k in range(len(GRAMS)))):
+        parts, sizes, grams = [], [], []
+        for x in texts:
+            words = words_of([x])
+            parts.append(np.unique(kind(words)))
+            sizes.append(len(words.hashes))
+            grams.append(len(words.grams[0][0]))
+        final.append(Signs.learned(parts, labels))
+        for side, signs in by_side.items():
+            rest = np.flatnonzero(half != side)
+            signs.append(Signs.learned([parts[i] for i in rest], labels[rest]))
+        del parts
+        _give_back()
     # texts that say nothing: words without a sign, and no words at all, are clean
-    blank = [every.taken(at).unsigned() for at in np.array_split(np.arange(min(len(every), UNSIGNED * WINDOW)), UNSIGNED)]
-    every = Inputs.joined([every, *blank])
+    said = min(sum(sizes), UNSIGNED * WINDOW)
+    ahead = 1 + int(np.searchsorted(np.cumsum(sizes), said))  # so many texts have these words
+    blank: list[Inputs] = []
+
+    def parts_of() -> Iterator[Inputs]:
+        for x, side in zip(texts, half.tolist()):
+            yield Inputs.of(words_of([x]), by_side[side])
+        few = Inputs.joined((Inputs.of(words_of([x]), final) for x in texts[:ahead]), sum(sizes[:ahead]), sum(grams[:ahead]))
+        blank.extend(few.taken(at).unsigned() for at in np.array_split(np.arange(said), UNSIGNED))
+        yield from blank
+
+    every = Inputs.joined(parts_of(), sum(sizes) + said, sum(grams) + sum(grams[:ahead]))
+    _give_back()
     ends = np.cumsum([*sizes, *(len(part) for part in blank), *[0] * 4])
     network = Network()
     network.train(every, *windows(ends), np.concatenate([labels, np.zeros(UNSIGNED + 4)]))
@@ -425,12 +454,9 @@ def sampled(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fits a model on the driver, and gives the memory that this took back to the system: the C library would keep it, some
-    200 MB, for as long as the driver lives."""
+    """Fits a model on the driver."""
     model = fitted(*sampled(docs, labels))
-    gc.collect()
-    with suppress(OSError, AttributeError):  # not every C library has this
-        ctypes.CDLL(None).malloc_trim(0)
+    _give_back()
     return model
 
 

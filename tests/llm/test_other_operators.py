@@ -298,6 +298,26 @@ def test_toxicity(spark):
     assert [r["score"] for r in none.collect()] == [0.0] * 3 and toxicity.scored(docs.limit(0), known).count() == 0
 
 
+def test_toxicity_training_takes_little_memory(monkeypatch):
+    """The driver trains: what it holds at once is a small multiple of the texts, and nothing of it stays but the model."""
+    import random
+    import tracemalloc
+
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 1)
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9))) for _ in range(700)) + " vilek" * (i % 3 == 0) for i in range(1200)]
+    labels = np.array([i % 3 == 0 for i in range(1200)], np.int64)
+    tracemalloc.start()
+    try:
+        model = toxicity.fitted(texts, labels)
+        left, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    size = sum(len(x) for x in texts)
+    assert model is not None and most < 15 * size and left < 3 * size
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage's decisions show in what the last one packs."""
     import corpus_pipeline
