@@ -33,6 +33,19 @@ def test_query_matches_sql(spark, con, name):
     assert got == sorted(repr(tuple(r[names.index(c)] for c in columns)) for r in cursor.fetchall())
 
 
+def matches_sql_over_orders(spark, folder, name, rows):
+    """A query's one row against its SQL's, over orders given as SQL."""
+    c = duckdb.connect()
+    c.execute(f"COPY ({rows}) TO '{folder}/orders.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM '{folder}/orders.parquet'")
+    cursor = c.execute(catalog.oracle_sql()[name])
+    assert catalog.queries()[name](spark, str(folder)).head().asDict() == dict(zip((x[0] for x in cursor.description), cursor.fetchone()))
+
+
+def test_double_statistics_of_many_distinct_values(spark, tmp_path):
+    matches_sql_over_orders(spark, tmp_path, "double_stats", "SELECT i o_orderkey, (i * 7919 % 100103)::double o_totalprice FROM range(150000) r(i)")
+
+
 def test_entry_imports():
     import __spark_entry__
 
