@@ -15,6 +15,13 @@ def number_of(v: Column) -> Column:
     return F.when(v.rlike(f"{NUMERIC}|{NUMERIC_WORD}"), v.try_cast("double"))
 
 
+def exact_of(num: Column) -> Column:
+    """A double as the decimal that its digits show, or null if that has more than 16 digits before the point or 8 after it. Sums
+    of such decimals round nothing and don't depend on the order of rows."""
+    exact = num.try_cast("decimal(24,8)")
+    return F.when(exact.cast("double") == num, exact)
+
+
 def sort_key(v: Column) -> Column:
     """Blank, then numbers by value, then text: a total order that numbers, text and blanks have among themselves."""
     num = number_of(v)

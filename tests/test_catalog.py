@@ -46,6 +46,10 @@ def test_double_statistics_of_many_distinct_values(spark, tmp_path):
     matches_sql_over_orders(spark, tmp_path, "double_stats", "SELECT i o_orderkey, (i * 7919 % 100103)::double o_totalprice FROM range(150000) r(i)")
 
 
+def test_numeric_statistics_of_large_amounts(spark, tmp_path):
+    matches_sql_over_orders(spark, tmp_path, "column_stats_numeric", "SELECT i o_orderkey, (90000000 + (i * 7919 % 90001) * 37.01)::double o_totalprice FROM range(150000) r(i)")
+
+
 def test_entry_imports():
     import __spark_entry__
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import math
 from datetime import date
 
 import pytest
@@ -111,6 +112,20 @@ def test_statistics_count_all_distinct_values(spark, prices):
         assert (r["distinct_count"], r["distinct_truncated"]) == (3, more)
 
 
+def test_statistics_sum_decimals_exactly(spark):
+    def summed(*values):
+        t = TextTable.from_dataframe(spark.createDataFrame(list(enumerate(values)), "k long, x string"), "k")
+        s = Statistics.of(t, "x")
+        return s.numeric_count, s.numeric_sum, s.numeric_mean
+
+    assert summed("0.1", "0.1", "0.1", "x", "") == (3, 0.3, 0.3 / 3)
+    assert summed("9007199254740993.5", "0.25", "0.25", "-9007199254740992") == (4, 2.5, 0.625)  # 9007199254740994 as a double
+    assert summed("1e300", "1", "1e-999999999", "1e-300") == (4, 1e300, 2.5e299)
+    assert summed("1e-9", "1e-9") == (2, 2e-9, 1e-9)
+    assert summed("Infinity", "0.1", "-1e15") == (3, math.inf, math.inf) and math.isnan(summed("NaN", "0.1")[1])
+    assert summed("x", "") == (0, None, None)
+
+
 def test_statistics(spark, prices):
     s = Statistics.of(prices, "PRICE")
     assert (s.row_count, s.numeric_sum, s.numeric_mean, s.min_text, s.max_text, s.distinct_count, s.fully_numeric) == (3, pytest.approx(198.45), pytest.approx(66.15), "12.90", "97.35", 3, True)
