@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions.staging import written_text
@@ -129,7 +129,7 @@ def double_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT count(*) row_count, count(DISTINCT x)::bigint distinct_count, arg_min(x, (d, k)) min_text, arg_max(x, (d, -k)) max_text, count(*) numeric_count, min(d) numeric_min, max(d) numeric_max, round(avg(d), 4) numeric_mean FROM {EIGHTHS}")
 def double_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = column_statistics(eighths(spark, sf_dir), "x").withColumn("numeric_mean", F.round("numeric_mean", 4))
+    found = column_statistics(eighths(spark, sf_dir), "x").withColumn("numeric_mean", _round("numeric_mean", 4))
     return found.select("row_count", "distinct_count", "min_text", "max_text", "numeric_count", "numeric_min", "numeric_max", "numeric_mean")
 
 
@@ -236,8 +236,14 @@ NUMBERS = """SELECT count(*) row_count, 0::bigint blank_count, count(DISTINCT x)
   round(sum(d)::double, 2) numeric_sum, round(avg(d)::double, 4) numeric_mean FROM t"""
 
 
+def _round(name: str, places: int) -> Column:
+    """As the SQL rounds doubles: times a power of ten, to a whole number and back, so the product decides ties. Huge ones stay."""
+    x, scale = F.col(name), float(10**places)
+    return F.when(F.abs(x) < 1e300, F.round(x * scale) / scale).otherwise(x)
+
+
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumns({"numeric_min": F.round("numeric_min", 4), "numeric_max": F.round("numeric_max", 4), "numeric_sum": F.round("numeric_sum", 2), "numeric_mean": F.round("numeric_mean", 4)})
+    return df.withColumns({n: _round(n, 2 if n == "numeric_sum" else 4) for n in ("numeric_min", "numeric_max", "numeric_sum", "numeric_mean")})
 
 
 @query("WITH t AS (SELECT o_totalprice::decimal(18,2)::varchar x, o_totalprice::decimal(18,2) d, o_orderkey k FROM orders) " + NUMBERS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 
 import duckdb
@@ -50,6 +51,16 @@ def test_numeric_statistics_of_large_amounts(spark, tmp_path):
     matches_sql_over_orders(spark, tmp_path, "column_stats_numeric", "SELECT i o_orderkey, (90000000 + (i * 7919 % 90001) * 37.01)::double o_totalprice FROM range(150000) r(i)")
 
 
+@pytest.mark.parametrize("name, rows", [("double_stats", "SELECT 1 o_orderkey, -92188.79::double o_totalprice"), ("column_stats_numeric", "SELECT i o_orderkey, CASE i WHEN 0 THEN 170682.12 ELSE 170682.11 END::double o_totalprice FROM range(8) r(i)")])
+def test_statistics_round_ties_as_sql_does(spark, tmp_path, name, rows):
+    matches_sql_over_orders(spark, tmp_path, name, rows)
+
+
+def test_rounding_keeps_huge_numbers(spark):
+    values = [(1e306,), (-math.inf,), (None,)]
+    assert [tuple(r) for r in spark.createDataFrame(values, "x double").select(catalog._round("x", 4)).collect()] == values
+
+
 def test_entry_imports():
     import __spark_entry__
 
